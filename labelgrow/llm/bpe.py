@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 
 from .shared import fresh
 
-#: Pre-tokens whose ids a Python worker keeps, and those it encodes at once.
-CACHED = 300_000
-AT_ONCE = 20_000
+#: Pre-tokens whose ids a Python worker keeps in each of two generations, and those it encodes at once.
+CACHED = 200_000
+AT_ONCE = 4_000
 
 
 class RankQueue:
@@ -157,18 +157,23 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str) -> None:
         self.pairs, self.cut, self.known = vocabulary(path), regex.compile(pattern).findall, {}
+        self.older: dict[str, bytes] = {}
 
     def packed(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         begin = 0
         while begin < len(texts):
             if len(self.known) > CACHED:
-                self.known = {}
-            known, missing, cuts = self.known, {}, []
+                self.known, self.older = {}, self.known
+            known, older, missing, cuts = self.known, self.older, {}, []
             while begin < len(texts) and len(missing) < AT_ONCE:
                 pieces = self.cut(texts[begin])
                 cuts.append(pieces)
-                missing |= dict.fromkeys(x for x in pieces if x not in known)
+                for piece in {x for x in pieces if x not in known}:
+                    if piece in older:
+                        known[piece] = older[piece]
+                    else:
+                        missing[piece] = None
                 begin += 1
             for piece, ids in zip(missing, self.pairs.encode_all([x.encode() for x in missing]), strict=True):
                 ids = array("I", ids)
