@@ -8,14 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode, n_ids
+from .langid import fit, held_out, identify
 from .line_dedup import dedup_lines
 from .minhash import fingerprint_edits
+from .shared import new_path
+from .url_filter import judge_urls
+from .warc import convert, mark_revisits, page_responses, read_arc, read_warc, write_arc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.filter(~held_out(F.col("doc_id"))))
+    done = identify(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,6 +35,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
+    write_arc(page_responses(_table(spark, sf_dir, "pages")), arc)
+    legacy = read_arc(spark, arc)
+    write_warc(mark_revisits(convert(legacy), convert(legacy, with_block=False)), warc)
+    records = read_warc(spark, warc, with_block=False).filter(F.col("warc_type") != "warcinfo")
+    return records.select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to_key").alias("refers_to")
+    )
+
+
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -34,7 +61,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op8_line_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op4_byte_bpe, op5_arc_to_warc, op6_url_templates, op8_line_dedup, op10_minhash)}
 
 
 #: DuckDB has ``lower`` for all letters only, so A-Z go through ``translate``.
@@ -44,6 +71,12 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_arc_to_warc": """
+            with p as (
+                select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+            f as (select payload_digest, min(page_id) as f from p where payload_bytes >= 100 group by payload_digest)
+            select p.*, case when f.f < p.page_id then 'revisit' else 'response' end as record_type, case when f.f < p.page_id then f.f end as refers_to
+            from p left join f on p.payload_digest = f.payload_digest""",
         "op8_line_dedup": f"""
             with l as (
                 select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
