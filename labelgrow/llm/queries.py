@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode, n_ids
+from .decontaminate import find_leaks
 from .langid import fit, held_out, identify
 from .line_dedup import dedup_lines
 from .minhash import fingerprint_edits
 from .shared import new_path
+from .substring_dedup import repeated_passages
 from .url_filter import judge_urls
 from .warc import convert, mark_revisits, page_responses, read_arc, read_warc, write_arc, write_warc
 
@@ -27,6 +29,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = repeated_passages(_table(spark, sf_dir, "documents"))
+    return gone.select("doc_id", "unit", "start", "end", "n_words", "passage_words", "kept_doc_id", "kept_unit", "kept_start", "kept_end")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
+    longest = F.array_max(F.transform("m.tiles", lambda x: x["length"]))
+    return found.select("doc_id", "m.item_id", "m.coverage", "m.n_tokens", F.size("m.tiles").alias("n_tiles"), longest.alias("longest_tile"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,7 +75,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_byte_bpe, op5_arc_to_warc, op6_url_templates, op8_line_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_decontaminate, op4_byte_bpe, op5_arc_to_warc, op6_url_templates, op8_line_dedup, op10_minhash)}
 
 
 #: DuckDB has ``lower`` for all letters only, so A-Z go through ``translate``.
@@ -71,6 +85,27 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": """
+            with l as (
+                select doc_id, text, unnest(string_split(text, chr(10))) as line,
+                       unnest(list_transform(range(1, len(string_split(text, chr(10))) + 1),
+                           lambda i: length(array_to_string(string_split(text, chr(10))[1:i], chr(10))))) as "end"
+                from documents),
+            w as (
+                select doc_id, "end" - length(line) as start, "end", len(string_split(k, ' ')) as n_words, k,
+                       row_number() over (partition by doc_id order by "end") - 1 as unit
+                from (select *, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) as k from l) where k <> ''),
+            r as (
+                select *, first(doc_id) over f as kept_doc_id, first(unit) over f as kept_unit, first(start) over f as kept_start,
+                       first("end") over f as kept_end
+                from w window f as (partition by k order by doc_id, unit)),
+            g as (
+                select *, unit - row_number() over (partition by doc_id order by unit) as run from r
+                where kept_doc_id <> doc_id or kept_unit <> unit),
+            p as (select *, sum(n_words) over (partition by doc_id, run)::bigint as passage_words from g)
+            select doc_id, unit::int as unit, start::int as start, "end"::int as "end", n_words::int as n_words, passage_words,
+                   kept_doc_id, kept_unit::int as kept_unit, kept_start::int as kept_start, kept_end::int as kept_end
+            from p where passage_words >= 50""",
         "op5_arc_to_warc": """
             with p as (
                 select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),

@@ -56,8 +56,11 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def words(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and for each text the number of the first of its words, with the end."""
+def words(column: pa.Array | pa.ChunkedArray, blanks: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and for each text the number of the first of its words, with the end.
+
+    ``blanks`` says of each of the 256 bytes whether it parts words.
+    """
     data, at = text_bytes(column)
     lo, end = int(at[0]), int(at[-1])
     first: list[np.ndarray] = []
@@ -66,14 +69,14 @@ def words(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         hi = min(lo + WINDOW, end)
         while hi < end:  # cut where a text begins or after a blank
             start = int(at[np.searchsorted(at, hi, "right") - 1])
-            blanks = np.flatnonzero(_SEP[data[max(lo, start) : hi]])
-            cut = max(start, max(lo, start) + int(blanks[-1]) + 1 if len(blanks) else 0)
+            parting = np.flatnonzero(blanks[data[max(lo, start) : hi]])
+            cut = max(start, max(lo, start) + int(parting[-1]) + 1 if len(parting) else 0)
             if cut > lo:
                 hi = cut
                 break
             hi = min(hi + WINDOW, end)
         block = data[lo:hi]
-        blank = _SEP[block]
+        blank = blanks[block]
         begins = ~blank
         begins[1:] &= blank[:-1]
         own = at[np.searchsorted(at, lo) : np.searchsorted(at, hi)] - lo
@@ -93,6 +96,10 @@ def words(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.searchsorted(np.concatenate(first), at)
 
 
+#: Words of ASCII letters and digits and of all characters beyond ASCII.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
 def shingles(column: pa.Array | pa.ChunkedArray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every shingle of k words, in order and with repetitions, and where each text's begin, with the end.
 
