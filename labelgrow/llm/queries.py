@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode, n_ids
 from .decontaminate import find_leaks
+from .jaccard_join import link_components
 from .langid import fit, held_out, identify
 from .line_dedup import dedup_lines
 from .minhash import fingerprint_edits
@@ -65,6 +66,11 @@ def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return link_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -75,7 +81,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_decontaminate, op4_byte_bpe, op5_arc_to_warc, op6_url_templates, op8_line_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_decontaminate, op4_byte_bpe, op5_arc_to_warc, op6_url_templates, op7_jaccard_join, op8_line_dedup, op10_minhash)}
 
 
 #: DuckDB has ``lower`` for all letters only, so A-Z go through ``translate``.
