@@ -13,6 +13,7 @@ from .jaccard_join import link_components
 from .langid import fit, held_out, identify
 from .line_dedup import dedup_lines
 from .minhash import fingerprint_edits
+from .pii import KINDS, find_personal_data, span_text
 from .shared import new_path
 from .substring_dedup import repeated_passages
 from .url_filter import judge_urls
@@ -76,12 +77,23 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: lambda x: x["kind"] == kind
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.concat("base", "found")).alias("spans"),
+    )
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_decontaminate, op4_byte_bpe, op5_arc_to_warc, op6_url_templates, op7_jaccard_join, op8_line_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_decontaminate, op4_byte_bpe, op5_arc_to_warc, op6_url_templates, op7_jaccard_join, op8_line_dedup, op9_personal_data, op10_minhash)}
 
 
 #: DuckDB has ``lower`` for all letters only, so A-Z go through ``translate``.
