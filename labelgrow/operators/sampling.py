@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..config import SamplerConfig
 
 
+#: Rows that one task may hold in a top-k.
+TOP_K = 1_000_000
+
+
 def hash_order(id_col: str, seed: int) -> Column:
     """A random but repeatable order of ids."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
@@ -41,6 +45,11 @@ def sample_large(df: DataFrame, k: int, id_col: str, seed: int = 42) -> DataFram
     return marked.filter(F.col("_cell") < last).drop("_cell").union(sample_k(marked.filter(F.col("_cell") == last).drop("_cell"), k - done, id_col, seed))
 
 
+def sample(df: DataFrame, k: int, id_col: str, seed: int = 42) -> DataFrame:
+    """k rows in hash order, the way that suits k."""
+    return sample_k(df, k, id_col, seed) if k <= TOP_K else sample_large(df, k, id_col, seed)
+
+
 def split_sizes(counts: dict, fraction: float) -> dict:
     """How many rows of each class go to the test part: largest remainders, ceil(fraction * n) in all."""
     total = math.ceil(fraction * sum(counts.values()) - 1e-9)
@@ -55,7 +64,7 @@ def stratified_split(df: DataFrame, y: str, id_col: str, fraction: float = 0.2,
     """(train, test), exact in each class; rows without a label are in neither."""
     labeled = df.filter(F.col(y).isNotNull())
     sizes = split_sizes({x[y]: x["count"] for x in labeled.groupBy(y).count().collect()}, fraction)
-    parts = [sample_large(labeled.filter(F.col(y) == c), k, id_col, seed) for c, k in sorted(sizes.items(), key=lambda x: str(x[0]))]
+    parts = [sample(labeled.filter(F.col(y) == c), k, id_col, seed) for c, k in sorted(sizes.items(), key=lambda x: str(x[0]))]
     test = parts[0] if parts else labeled.limit(0)
     for part in parts[1:]:
         test = test.unionByName(part)
@@ -131,7 +140,7 @@ def select_two_ended(
     taken = cap_quota(*quota, cfg.cap)
     if cfg.adapt:
         state.hi, state.lo = relax(state.hi, state.lo, *taken, cfg.min_per_class, cfg.step)
-    picks = [sample_large(marked.filter(F.col("pseudo_label") == c), k, id_col, cfg.seed) for c, k in ((1, taken[0]), (0, taken[1]))]
+    picks = [sample(marked.filter(F.col("pseudo_label") == c), k, id_col, cfg.seed) for c, k in ((1, taken[0]), (0, taken[1]))]
     return picks[0].unionByName(picks[1]).select(id_col, "pseudo_label", "prob", F.lit(iteration).alias("iteration"))
 
 
