@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,17 +53,20 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 def share(n: int) -> int:
     """The l of a set's sample: how many items linked samples share at least."""
-    return max(1, n // 20)
+    return max(1, n // 5)
 
 
 def _sampled(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
-    """The table with its rows' class, set size, and sample; a task gives a class's sample once."""
-    new = fresh(docs, "n_shingles", "class", "sample")
-    fields = zip(new, [T.LongType(), T.LongType(), T.ArrayType(T.LongType())], strict=True)
+    """The table with a number for each row, its set's size, class, and sample; a task gives a class's sample once."""
+    new = ["node", "n_shingles", "class", "sample"]
+    fields = zip(new, [*[T.LongType()] * 3, T.ArrayType(T.LongType())], strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
+            nodes = pa.array(range(number, number + batch.num_rows), pa.int64())
+            number += batch.num_rows
             sizes, classes, samples = [], [], []
             for items in shingle_sets(batch.column(batch.schema.get_field_index(text_col)), k):
                 n = len(items)
@@ -74,19 +78,26 @@ def _sampled(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
             lists = pa.array(samples, pa.list_(pa.int64()))
             kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != text_col]
             names = [name for name in batch.schema.names if name != text_col]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists], [*names, *new])
+            yield pa.RecordBatch.from_arrays([*kept, nodes, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists], [*names, *new])
 
     rest = [f for f in docs.schema.fields if f.name != text_col]
     return docs.mapInArrow(run, T.StructType([*rest, *[T.StructField(n, t) for n, t in fields]]))
 
 
-def _families(classes: DataFrame, percent: int) -> DataFrame:
-    """(class, family) of all classes that could have a link; input (class, n, sample)."""
-    items = classes.select("class", "n", F.explode("sample").alias("item"))
+def _families(rows: DataFrame, percent: int) -> DataFrame:
+    """(class, family) of all classes that could have a link; input (node, n_shingles, class, sample).
+
+    Items are cut to their first bits, 14 more than it takes to count all items, and rows go by their
+    numbers, as both make up most of what is shuffled; items that fall together only add candidates.
+    """
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 1
+    bits = min(64, max(40, 14 + total.bit_length()))
+    items = rows.select("node", F.explode("sample").alias("item")).withColumn("item", F.shiftrightunsigned("item", 64 - bits))
     often = items.groupBy("item").agg(F.count("*").alias("often")).filter("often > 1")
-    listed = items.join(often, "item").groupBy("class").agg(F.first("n").alias("n"), F.collect_set(F.struct("often", "item")).alias("items"))
-    least_size = -F.floor(-F.lit(percent) * F.col("n") / 100)
-    common = F.greatest(F.lit(1), F.floor(least_size / 20)).cast("int")
+    listed = items.join(often, "item").groupBy("node").agg(F.collect_set(F.struct("often", "item")).alias("items"))
+    listed = listed.join(rows.filter("sample is not null").select("node", "class", F.col("n_shingles").alias("n")), "node")
+    least_size = F.call_function("div", F.lit(percent) * F.col("n") + 99, F.lit(100))
+    common = F.greatest(F.lit(1), F.call_function("div", least_size, F.lit(5))).cast("int")
     front = F.size("items") - common + 1
     kept = listed.filter(front > 0).select("class", F.explode(F.slice(F.array_sort("items"), 1, front)).alias("x"))
     kept = stored(kept.select("class", "x.item"), "fronts")
@@ -250,7 +261,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_col, component_col = fresh(docs, "n_shingles", "component_id")
     base = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     rows = stored(_sampled(base, "text", k, percent), "samples")
-    families = stored(_families(rows.filter("sample is not null").select("class", F.col("n_shingles").alias("n"), "sample"), percent), "families")
+    families = stored(_families(rows.select("node", "n_shingles", "class", "sample"), percent), "families")
     wanted = rows.join(families, "class").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("family").alias("family"))
     wanted = stored(wanted, "wanted")
     totals = wanted.groupBy("family").agg(

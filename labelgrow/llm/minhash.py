@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import fresh, stored
-from .shingles import shingle_sets, shingles
+from .shingles import shingle_sets, shingles, slices
 
 SLOTS, SHINGLE = 128, 5
 #: Shingles hashed at once, so that all stays in a core's cache.
@@ -39,6 +39,10 @@ _B = _rng.integers(0, 2**32, 1024, dtype=np.uint32)
 
 def signatures(column: pa.Array | pa.ChunkedArray, slots: int = SLOTS, k: int = SHINGLE) -> np.ndarray:
     """A row of ``slots`` 16-bit values for each text."""
+    return np.concatenate([np.zeros((0, slots), np.uint16), *[_signatures(x, slots, k) for x in slices(column)]])
+
+
+def _signatures(column: pa.Array, slots: int, k: int) -> np.ndarray:
     hashes, at = shingles(column, k)
     values = (hashes >> np.uint64(32)).astype(np.uint32)
     n = len(at) - 1

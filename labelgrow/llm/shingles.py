@@ -126,8 +126,21 @@ def shingles(column: pa.Array | pa.ChunkedArray, k: int = 5) -> tuple[np.ndarray
     return out, out_at
 
 
+def slices(column: pa.Array | pa.ChunkedArray, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """The column in pieces of at most so many bytes of text, or one text."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, at = text_bytes(column)
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
+        yield column.slice(begin, end - begin)
+        begin = end
+
+
 def shingle_sets(column: pa.Array | pa.ChunkedArray, k: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles."""
-    hashes, at = shingles(column, k)
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        yield np.unique(hashes[a:b])
+    for piece in slices(column):
+        hashes, at = shingles(piece, k)
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield np.unique(hashes[a:b])
