@@ -2,8 +2,8 @@
 
 Rules decide first: the longest one that fits a URL. For the others, templates do. In each path every
 run of digits becomes a variable; these paths form a tree per host, whose nodes hold how many URLs and
-how many labelled ones pass. A node whose children are many and rare is variable: its children become
-one wildcard. Children whose share of blocked URLs is within ``z`` standard errors of their parent's
+how many labelled ones pass. A node whose children are many and mostly rare is variable: its
+rare children become one wildcard. Children whose share of blocked URLs is within ``z`` standard errors of their parent's
 merge into that wildcard; only those that differ keep their branch. A template is rejected if its
 purity, the share of blocked among its labelled URLs, smoothed by its host's, that by its suffix's and
 that by the whole table's, is above ``reject``. Labels are the rules' own verdicts, or those given.
@@ -80,7 +80,7 @@ def template_purity(
     similar = (F.col("labelled") == 0) | (F.abs(F.try_divide("blocked", "labelled") - share) <= z * error)
     variable = (F.col("n_children") > many) & (F.col("all_n") < rare * F.col("n_children"))
     branches = children.join(parents, ["host", "depth", "parent"]).select(
-        "host", "depth", "parent", "child", F.when(variable | (similar & (F.col("n_children") > 1)), F.lit("*")).otherwise(F.col("child")).alias("branch")
+        "host", "depth", "parent", "child", F.when((variable & (F.col("n") < rare)) | (similar & (F.col("n_children") > 1)), F.lit("*")).otherwise(F.col("child")).alias("branch")
     )
     named = (
         nodes.select("host", "shape", "depth", "parent", "child")
