@@ -32,7 +32,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = repeated_passages(_table(spark, sf_dir, "documents"))
+    gone = repeated_passages(_table(spark, sf_dir, "documents"), unit="sentence", min_words=30)
     return gone.select("doc_id", "unit", "start", "end", "n_words", "passage_words", "kept_doc_id", "kept_unit", "kept_start", "kept_end")
 
 
@@ -104,11 +104,9 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": """
-            with l as (
-                select doc_id, text, unnest(string_split(text, chr(10))) as line,
-                       unnest(list_transform(range(1, len(string_split(text, chr(10))) + 1),
-                           lambda i: length(array_to_string(string_split(text, chr(10))[1:i], chr(10))))) as "end"
-                from documents),
+            with t as (select doc_id, string_split(regexp_replace(text, '([.!?])[ \\t]', '\\1' || chr(10), 'g'), chr(10)) as lines from documents),
+            u as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from t),
+            l as (select doc_id, line, (sum(length(line) + 1) over (partition by doc_id order by i) - 1)::bigint as "end" from u),
             w as (
                 select doc_id, "end" - length(line) as start, "end", len(string_split(k, ' ')) as n_words, k,
                        row_number() over (partition by doc_id order by "end") - 1 as unit
@@ -123,7 +121,7 @@ def oracle_sql() -> dict[str, str]:
             p as (select *, sum(n_words) over (partition by doc_id, run)::bigint as passage_words from g)
             select doc_id, unit::int as unit, start::int as start, "end"::int as "end", n_words::int as n_words, passage_words,
                    kept_doc_id, kept_unit::int as kept_unit, kept_start::int as kept_start, kept_end::int as kept_end
-            from p where passage_words >= 50""",
+            from p where passage_words >= 30""",
         "op5_arc_to_warc": """
             with p as (
                 select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
