@@ -38,15 +38,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near duplicates; rows that repeat whole stay once.
 
-    Documents without words have no group; of rows without an id only those alone or in a group of
-    such rows stay.
+    Documents without words have no group and stay. A row without an id goes if its group has an id.
     """
-    doc, text_hash, group = fresh(docs, "doc", "text_hash", "component_id")
+    doc, text_hash, group = fresh(docs, "doc", "text_hash", "group")
     keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_hash: F.xxhash64("text")})
-    linked = link_components(keyed.select("doc_id", "text", doc, text_hash)).withColumnRenamed("component_id", "least")
-    alone = linked.filter("n_shingles = 0 or least is null").select(doc, text_hash)
+    linked = link_components(keyed.select("doc_id", "text", doc, text_hash), group_col=group)
+    alone = linked.filter(F.col(group).isNull()).select(doc, text_hash)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col(doc), F.col(text_hash)))
-    firsts = linked.filter("n_shingles > 0 and least is not null").groupBy("least").agg(first.alias("x")).select(f"x.{doc}", f"x.{text_hash}")
+    firsts = linked.filter(F.col(group).isNotNull()).groupBy(group).agg(first.alias("x")).select(f"x.{doc}", f"x.{text_hash}")
     kept = stored(firsts.union(alone).distinct(), "kept")
     return keyed.join(kept, [doc, text_hash], "left_semi").dropDuplicates([doc, text_hash]).select(*docs.columns)
 
