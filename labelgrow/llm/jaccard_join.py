@@ -253,10 +253,12 @@ def _links(units: DataFrame, percent: int) -> DataFrame:
     return dealt.select("family", "i", "j", "part", "class", "items").mapInArrow(run, "a long, b long")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, group_col: str | None = None) -> DataFrame:
     """The table without its text and with ``n_shingles`` and ``component_id``, the smallest id that links reach.
 
-    If the table has columns of these names, the new ones get a leading underscore.
+    If the table has columns of these names, the new ones get a leading underscore. ``group_col`` adds a
+    number of the component, which tells components apart that rows of one id or without id are in; it
+    is null for the empty set.
     """
     n_col, component_col = fresh(docs, "n_shingles", "component_id")
     base = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -292,4 +294,5 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stored(named.drop("linked"), "named")
     least = named.filter("class is not null").groupBy("group").agg(F.min("doc").alias("component"))
     done = named.join(least, "group", "left")
-    return done.select("row.*", F.col("n_shingles").alias(n_col), F.coalesce("component", "doc").alias(component_col))
+    group = [F.col("group").alias(group_col)] if group_col else []
+    return done.select("row.*", F.col("n_shingles").alias(n_col), F.coalesce("component", "doc").alias(component_col), *group)
