@@ -17,7 +17,8 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import fresh
+from .shingles import parts
 
 #: Pre-tokens whose ids a Python worker keeps in each of two generations, and those it encodes at once.
-CACHED = 200_000
+CACHED = 150_000
 AT_ONCE = 4_000
 
 
@@ -80,8 +82,12 @@ class BytePairs:
         self.ranks = ranks
         self.single = [ranks[bytes([i])] for i in range(256)]
         self.bytes_of = {i: x for x, i in ranks.items()}
-        #: left id << 32 | right id -> id of both, for all ways to cut a token in two.
-        self.pairs = {ranks[x[:i]] << 32 | ranks[x[i:]]: r for x, r in ranks.items() for i in range(1, len(x)) if x[:i] in ranks and x[i:] in ranks}
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """left id << 32 | right id -> id of both, for all ways to cut a token in two."""
+        ranks = self.ranks
+        return {ranks[x[:i]] << 32 | ranks[x[i:]]: r for x, r in ranks.items() for i in range(1, len(x)) if x[:i] in ranks and x[i:] in ranks}
 
     def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece, as if it were alone."""
@@ -201,7 +207,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault((path, pattern), Encoder(path, pattern))
-        for batch in batches:
+        for batch in chain.from_iterable(parts(b, b.schema.get_field_index(text_col)) for b in batches):
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             ids = pa.array(encoder.packed(texts), pa.binary(), size=len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
@@ -215,7 +221,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = vocabulary(path)
-        for batch in batches:
+        for batch in chain.from_iterable(parts(b, b.schema.get_field_index(ids_col)) for b in batches):
             packed = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
             out = pa.array([pairs.decode(memoryview(x or b"").cast("I")) for x in packed], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, bytes_col])
@@ -229,7 +235,11 @@ def n_ids(packed: Column) -> Column:
 
 def unpacked(packed: Column) -> Column:
     """Packed ids as an array of long."""
-    word = lambda i: F.conv(F.hex(F.reverse(F.substring(packed, i * 4 + 1, F.lit(4)))), 16, 10).cast("long")
+
+    def word(i: Column) -> Column:
+        digits = F.hex(F.substring(packed, i * 4 + 1, F.lit(4)))
+        return F.conv(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
+
     return F.when(n_ids(packed) > 0, F.transform(F.sequence(F.lit(0), (n_ids(packed) - 1).cast("int")), word)).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -18,6 +18,7 @@ matches nothing. Other columns ride along.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import fresh
-from .shingles import NOT_ALNUM, mix, words
+from .shingles import NOT_ALNUM, mix, parts, words
 
 MIN_MATCH, THRESHOLD, BLOCK_BYTES = 5, 0.5, 16 << 20
 _BASE = 0xD6E8FEB86659FD93
@@ -113,6 +114,17 @@ class _Items:
         order = np.argsort(seed, kind="stable")
         self.seed, self.whose, self.place = seed[order], whose[order], place[order]
         self.known = np.unique(seed)
+        self.filled = np.zeros(1 << 22, bool)
+        self.filled[self.known >> np.uint64(42)] = True
+
+    def among(self, values: np.ndarray) -> np.ndarray:
+        """Which values are seeds; a bitmap of 22 bits of them spares most searches."""
+        out = self.filled[values >> np.uint64(42)]
+        some = np.flatnonzero(out)
+        if len(some):
+            at = np.minimum(np.searchsorted(self.known, values[some]), len(self.known) - 1)
+            out[some] = self.known[at] == values[some]
+        return out
 
     def judge(self, doc: np.ndarray, found: np.ndarray, min_match: int, threshold: float) -> list[dict]:
         """Matches of a document whose seeds that items have are ``found``."""
@@ -170,10 +182,10 @@ def find_leaks(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, texts = shared.value
             block = _Items(ids, pa.array(texts, pa.large_string()), min_match)
-            for batch in batches:
+            for batch in chain.from_iterable(parts(b, b.schema.get_field_index(text_col)) for b in batches):
                 hashes, at = tokens(batch.column(batch.schema.get_field_index(text_col)))
                 seeds = running_windows(hashes, min_match)
-                hit = np.flatnonzero(_among(seeds, block.known))
+                hit = np.flatnonzero(block.among(seeds))
                 hit = hit[at[np.searchsorted(at, hit, "right")] >= hit + min_match]
                 of = np.searchsorted(at, hit, "right") - 1
                 last = batch.schema.get_field_index(out_col)
@@ -191,13 +203,3 @@ def running_windows(hashes: np.ndarray, length: int, step: int = 1 << 18) -> np.
     parts = [running_hashes(hashes[i : i + step + length - 1], length) for i in range(0, max(0, len(hashes) - length + 1), step)]
     return np.concatenate([np.zeros(0, np.uint64), *parts])
 
-
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in a sorted array; a bitmap of 24 bits of them spares most searches."""
-    filled = np.zeros(1 << 24, bool)
-    filled[known >> np.uint64(40)] = True
-    out = filled[values >> np.uint64(40)]
-    some = np.flatnonzero(out)
-    at = np.minimum(np.searchsorted(known, values[some]), max(0, len(known) - 1))
-    out[some] = known[at] == values[some] if len(known) else False
-    return out

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import fresh
+from .shingles import parts
 
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3, 4)
 MOST_LANGUAGES = 512
 #: Characters taken at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 17
 _letters: list[np.ndarray] = []
 
 
@@ -84,7 +86,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         n_docs: dict[str, int] = {}
-        for batch in batches:
+        for batch in chain.from_iterable(parts(b, 1) for b in batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             names = sorted(set(langs))
             number = np.array([names.index(x) for x in langs])
@@ -125,7 +127,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, "und"], object)
-        for batch in batches:
+        for batch in chain.from_iterable(parts(b, b.schema.get_field_index(text_col)) for b in batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             scores, n = np.zeros((len(texts), len(m.languages))), np.zeros(len(texts))
             for begin, end, ids, whose in ngrams(texts, m.log_p.shape[0]):

@@ -126,7 +126,20 @@ def shingles(column: pa.Array | pa.ChunkedArray, k: int = 5) -> tuple[np.ndarray
     return out, out_at
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = 4 << 20) -> Iterator[pa.Array]:
+def parts(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most so many bytes in one column, or one row; an empty batch as it is."""
+    values = pc.fill_null(batch.column(column).cast(pa.large_binary()), b"")
+    at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    begin = 0
+    while begin < batch.num_rows or not batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1) if batch.num_rows else 0
+        yield batch.slice(begin, end - begin)
+        if not batch.num_rows:
+            return
+        begin = end
+
+
+def slices(column: pa.Array | pa.ChunkedArray, most: int = 2 << 20) -> Iterator[pa.Array]:
     """The column in pieces of at most so many bytes of text, or one text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
