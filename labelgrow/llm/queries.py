@@ -104,7 +104,7 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": """
-            with t as (select doc_id, string_split(regexp_replace(text, '([.!?])[ \\t]', '\\1' || chr(10), 'g'), chr(10)) as lines from documents),
+            with t as (select doc_id, string_split(regexp_replace(text, '([^.!?][.!?])[ \\t]', '\\1' || chr(10), 'g'), chr(10)) as lines from documents),
             u as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from t),
             l as (select doc_id, line, (sum(length(line) + 1) over (partition by doc_id order by i) - 1)::bigint as "end" from u),
             w as (

@@ -1,7 +1,7 @@
 """Substring deduplication by hashing lines or paragraphs.
 
-A unit is a line, or a paragraph (lines between blank ones), or a sentence: a line cut after ``.``, ``!``
-or ``?`` and a blank, which also finds passages set into longer lines. Its normal form has letters in lower case and
+A unit is a line, or a paragraph (lines between blank ones), or a sentence: a line cut after a single ``.``,
+``!`` or ``?`` and a blank, which also finds passages set into longer lines. Its normal form has letters in lower case and
 runs of blanks as one blank. Digests of normal forms are grouped over the whole table; of each, the
 occurrence with the smallest (id, place) is the keeper. Other occurrences go where they form passages:
 runs of following units, none a keeper, of together at least ``min_words`` words. What goes keeps its
@@ -29,8 +29,8 @@ from .shared import stored
 
 NO_ID = -(2**63)
 UNITS = {"line": r"[^\n]+", "paragraph": r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*", "sentence": r"[^\n]+"}
-#: A blank after one of these ends a sentence.
-SENTENCE_END = r"(?<=[.!?])[ \t]"
+#: A blank after a single one of these ends a sentence.
+SENTENCE_END = r"([^.!?][.!?])[ \t]"
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line") -> DataFrame:
@@ -45,7 +45,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
             for doc, text_hash, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 n = 0
                 text = text or ""
-                for m in find(ends.sub("\n", text) if unit == "sentence" else text):
+                for m in find(ends.sub(r"\1\n", text) if unit == "sentence" else text):
                     words = m[0].lower().split()
                     if words:
                         rows.append((doc, text_hash, n, m.start(), m.end(), len(words), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()))
