@@ -15,7 +15,7 @@ from .line_dedup import dedup_lines
 from .minhash import fingerprint_edits
 from .pii import KINDS, find_personal_data, span_text
 from .shared import new_path
-from .substring_dedup import repeated_passages
+from .substring_dedup import repeated_passages, repeated_runs
 from .url_filter import judge_urls
 from .warc import convert, mark_revisits, page_responses, read_arc, read_warc, write_arc, write_warc
 
@@ -36,6 +36,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.select("doc_id", "unit", "start", "end", "n_words", "passage_words", "kept_doc_id", "kept_unit", "kept_start", "kept_end")
 
 
+def op2_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_runs(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
@@ -93,7 +97,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_decontaminate, op4_byte_bpe, op5_arc_to_warc, op6_url_templates, op7_jaccard_join, op8_line_dedup, op9_personal_data, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op2_repeated_runs, op3_decontaminate, op4_byte_bpe, op5_arc_to_warc, op6_url_templates, op7_jaccard_join, op8_line_dedup, op9_personal_data, op10_minhash)}
 
 
 #: DuckDB has ``lower`` for all letters only, so A-Z go through ``translate``.

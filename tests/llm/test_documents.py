@@ -256,6 +256,39 @@ def test_substring_dedup(spark, awkward, empty):
     assert substring_dedup.remove_passages(awkward, substring_dedup.repeated_passages(awkward, min_words=5)).count() == awkward.count()
 
 
+def test_repeated_runs_cut_in_mid_sentence(spark, awkward, empty):
+    rng = random.Random(3)
+    fill = lambda n: " ".join(f"f{rng.randrange(10**9)}" for _ in range(n))
+    texts = []
+    for i, n in enumerate((49, 50, 51, 61, 70)):
+        passage = fill(n)
+        texts += [f"{fill(30)} {passage} {fill(20 + i)}", f"{fill(17)}\n{passage.upper()} \t{fill(40)}"]
+    a, b = fill(50), fill(50)
+    texts += [f"{fill(9)} {a} {fill(3)}", f"{fill(9)} {b} {fill(3)}", f"{fill(9)} {a} {b} {fill(3)}", "again " * 200, fill(60), "x " * 49, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected, first = {}, {}
+    for d, t in enumerate(texts):
+        w = (t or "").lower().split()
+        for p in range(len(w) - 49):
+            kept = first.setdefault(tuple(w[p : p + 50]), (d, p))
+            if kept[0] != d or p >= kept[1] + 50:
+                expected.setdefault(d, set()).update(range(p, p + 50))
+    gone = substring_dedup.repeated_runs(docs)
+    got = {}
+    for r in gone.collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["word"], r["word"] + r["n_words"]))
+        a, b = texts[r["doc_id"]][r["start"] : r["end"]], texts[r["kept_doc_id"]][r["kept_start"] : r["kept_end"]]
+        assert a.lower().split() == b.lower().split() and len(a.split()) == r["n_words"] >= 50
+    assert got == expected and {3, 5, 7, 9, 12, 13} == set(got)
+    assert substring_dedup.repeated_passages(docs, unit="sentence", min_words=30).count() == 0
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove_passages(docs, gone).collect()}
+    for d, t in enumerate(texts):
+        w = (t or "").split()
+        assert (cut[d] or "").split() == [x for i, x in enumerate(w) if i not in expected.get(d, ())]
+    assert substring_dedup.repeated_runs(empty).count() == 0
+    assert {r["doc_id"] for r in substring_dedup.repeated_runs(awkward, min_words=5).collect()} >= {2}
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
