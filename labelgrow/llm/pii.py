@@ -1,16 +1,17 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base spans come from four patterns with their checks: leftmost, not overlapping per kind, in code points.
-They are the seeds. All other tokens with a digit are candidates. The one and the two words before a
-seed or candidate are its lexical patterns. Patterns and instances (seeds and candidates by their text)
-form a graph over all documents, on which scores go back and forth: a pattern's score for a kind is
+They are the seeds. All other tokens that hold more than marks of punctuation are candidates. The one and
+the two words before a seed or candidate are its lexical patterns. Patterns and instances (seeds by
+their kind and text, candidates by their text, all in lower case: copies count once) form a graph over all documents, on which scores go back and forth: a pattern's score for a kind is
 the sum of its distinct instances' scores over their number plus ``smoothing``; a candidate takes its
 best pattern's score if the pattern is of high confidence: at least ``confidence``, and ``support``
 distinct instances of that kind. After ``rounds`` rounds, candidates after patterns of high confidence
 become spans of their kind. Base spans stay.
 
-Texts are read once; the graph has a row for each distinct (pattern, instance), summed up with partial
-aggregates, and skewed patterns are split by Spark in the joins.
+Only patterns whose instances' scores add up to ``support`` can be of high confidence, so each round
+first sums the scores of its seeds and candidates, then counts all tokens after the few patterns that
+are left. Texts stay in place; tables of patterns are broadcast up to a bound and else joined by Spark.
 
 Defined cases: a null text is empty and has no spans. Rows that share an id are told apart by their text;
 equal rows have equal spans. A candidate that overlaps a base span adds nothing. An empty table has no
@@ -41,6 +42,11 @@ MUST_HAVE = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Private-use characters that stand for base spans of each kind.
 MARKS = "\ue000\ue001\ue002\ue003"
 EDGES = "\"'()[]{}<>.,;:!?*%&#$|"
+#: Stands for a blank within a base span.
+JOINT = "\ue004"
+BLANKS = "\t\n\x0b\x0c\r"
+#: Rows of a table of patterns or instances that is broadcast.
+MOST_BROADCAST = 100_000
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -86,43 +92,60 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(has, F.transform(found, lambda x: F.struct(x["start"], x["end"]))).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
-def _masked(text: Column, spans: list[Column]) -> Column:
-    """The text with a kind's mark for each character of its base spans; where kinds overlap, the one that starts first."""
+def _masked(text: Column, spans: list[Column], marks: bool = True) -> Column:
+    """The text with a kind's mark for each character of its base spans; where kinds overlap, the one that starts first.
+
+    Without ``marks``, the spans' own characters stay and only their blanks are replaced.
+    """
     with_mark = lambda m: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(m).alias("mark"))
     marked = [F.transform(s, with_mark(m)) for s, m in zip(spans, MARKS, strict=True)]
-    clean = F.translate(text, MARKS, "?" * len(MARKS))
+    clean = F.translate(text, MARKS + JOINT, "?" * len(MARKS + JOINT))
 
     def step(acc: Column, x: Column) -> Column:
         start = F.greatest(acc["at"], x["start"])
-        more = F.concat(acc["out"], F.substring(clean, acc["at"] + 1, start - acc["at"]), F.repeat(x["mark"], F.greatest(F.lit(0), x["end"] - start)))
+        n = F.greatest(F.lit(0), x["end"] - start)
+        inside = F.repeat(x["mark"], n) if marks else F.translate(F.substring(clean, start + 1, n), " ", JOINT)
+        more = F.concat(acc["out"], F.substring(clean, acc["at"] + 1, start - acc["at"]), inside)
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
 
     last = lambda acc: F.concat(acc["out"], F.substring(clean, acc["at"] + 1, F.length(clean)))
     some = reduce(lambda a, b: a | b, [F.size(s) > 0 for s in spans])
-    return F.when(some, F.aggregate(F.array_sort(F.concat(*marked)), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, last)).otherwise(clean)
-
-
-def _occurrences(masked: Column) -> Column:
-    """(start, end, kind or null, instance, left one and two words) of tokens with a digit or a mark."""
-    pattern = rf"(?<!\S)[^\s0-9{MARKS}]*+[0-9{MARKS}]\S*+"
-
-    def one(x: Column) -> Column:
-        inner = F.rtrim(F.ltrim(x["match"], F.lit(EDGES)), F.lit(EDGES))
-        start = x["start"] + F.length(x["match"]) - F.length(F.ltrim(x["match"], F.lit(EDGES)))
-        mark = F.regexp_extract(x["match"], f"[{MARKS}]", 0)
-        kind = F.when(mark == "", F.lit(None).cast("string"))
-        for m, k in zip(MARKS, KINDS, strict=True):
-            kind = F.when(mark == m, F.lit(k)).otherwise(kind)
-        before = F.lower(x["gap"])
-        return F.struct(
-            start.alias("start"),
-            (start + F.length(inner)).alias("end"),
-            kind.alias("kind"),
-            inner.alias("inner"),
-            F.array(F.regexp_extract(before, r"(\S++)\s*+$", 1), F.regexp_extract(before, r"(\S++\s++\S++)\s*+$", 1)).alias("lefts"),
-        )
-
-    return F.when(masked.rlike(f"[0-9{MARKS}]"), F.transform(_placed(masked, pattern), one))
+    made = F.aggregate(F.array_sort(F.concat(*marked)), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, last)
+    return F.when(some, made).otherwise(clean if marks else F.lit(None).cast("string"))
+
+
+def _words(text: Column) -> Column:
+    """(place, word) of all words; a place is the number of blanks before the word."""
+    parts = F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " ", -1)
+    return F.filter(F.transform(parts, lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda x: x["word"] != "")
+
+
+def _uses(read: DataFrame, joined: bool = False) -> DataFrame:
+    """(doc, text_hash, place, kind or null, instance, pattern) of all tokens: with ``joined`` of seeds only, else of candidates."""
+    words = read.select("doc", "text_hash", _words(F.col("masked")).alias("w"), *([_words(F.col("joined")).alias("o")] if joined else []))
+    none = F.lit(None).cast("struct<place:int,word:string>")
+    shifted = [F.col("w").alias("own"), F.concat(F.array(none), "w").alias("one"), F.concat(F.array(none, none), "w").alias("two")]
+    zipped = F.arrays_zip(*shifted, *([F.col("o").alias("text")] if joined else []))
+    each = words.select("doc", "text_hash", F.explode(zipped).alias("x")).filter("x.own is not null")
+    word = F.col("x.own.word")
+    one, two = (F.when(~F.col(f"x.{c}.word").rlike(f"[0-9{MARKS}]"), F.lower(f"x.{c}.word")) for c in ("one", "two"))
+    if joined:
+        each = each.filter(word.rlike(f"[{MARKS}]")).withColumn("mark", F.regexp_extract(word, f"[{MARKS}]", 0))
+        kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.instr(F.lit(MARKS), F.col("mark")))
+        run = F.regexp_extract(word, "|".join(f"{m}+" for m in MARKS), 0)
+        instance = F.lower(F.substring(F.col("x.text.word"), F.instr(word, F.col("mark")), F.length(run)))
+        instance = F.concat(kind, F.lit(":"), instance)
+    else:
+        kind, instance = F.lit(None).cast("string"), F.lower(F.rtrim(F.ltrim(word, F.lit(EDGES)), F.lit(EDGES)))
+        each = each.filter(~word.rlike(f"[{MARKS}]") & word.rlike(r"[\p{L}\p{N}]"))
+    lefts = F.array_compact(F.array(one, F.concat(two, F.lit(" "), one)))
+    made = each.select("doc", "text_hash", F.col("x.own.place").alias("place"), kind.alias("kind"), instance.alias("instance"), F.explode(lefts).alias("pattern"))
+    return made
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A table that was stored, to be broadcast if it is short."""
+    return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
 
 
 def _high(confidence: float, support: int) -> Column:
@@ -149,24 +172,37 @@ def find_personal_data(
     read = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), text.alias("text"))
     for kind in KINDS:
         read = read.withColumn(kind, base_spans(F.col("text"), kind))
-    read = read.withColumn("masked", _masked(F.col("text"), [F.col(k) for k in KINDS]))
-    read = stored(read.withColumn("seen", _occurrences(F.col("masked"))).drop("text", "masked"), "personal")
-    seen = read.filter("seen is not null").select("doc", "text_hash", F.explode("seen").alias("x")).select("doc", "text_hash", "x.*")
-    seen = seen.withColumn("instance", F.when(F.col("kind").isNull(), F.lower("inner")).otherwise(F.concat("doc", F.lit(":"), "start", F.lit(":"), "kind")))
-    uses = seen.withColumn("pattern", F.explode("lefts")).filter("pattern <> ''").drop("lefts", "inner")
-    links = stored(uses.groupBy("pattern", "instance").agg(F.first("kind").alias("kind")), "links")
-    scored = links.select("pattern", "instance", "kind", *[(F.col("kind") == k).cast("double").alias(k) for k in KINDS]).fillna(0.0, list(KINDS))
-    patterns = None
+    spans = [F.col(k) for k in KINDS]
+    read = read.withColumn("masked", _masked(F.col("text"), spans)).withColumn("joined", _masked(F.col("text"), spans, marks=False))
+    read = stored(read.drop("text"), "personal")
+    seeds = _uses(read.filter("joined is not null"), joined=True)
+    seeds = stored(seeds.groupBy("pattern", "instance").agg(F.first("kind").alias("kind")), "seeds")
+    own = lambda k: F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)
+    scored = seeds.select("pattern", "kind", F.lit(1.0).alias("score"))
+    after = None
     for step in range(rounds):
-        sums = scored.groupBy("pattern").agg((F.count("*") + smoothing).alias("n"), *[F.sum(k).alias(f"sum_{k}") for k in KINDS])
-        sums = sums.withColumn("high", _high(confidence, support)).filter(F.size("high") > 0)
-        patterns = stored(sums.select("pattern", F.array_max("high").alias("best")), "patterns")
+        sums = scored.groupBy("pattern").agg(*[F.sum(own(k)).alias(f"sum_{k}") for k in KINDS])
+        sums = stored(sums.filter(F.greatest(*[F.col(f"sum_{k}") for k in KINDS]) >= support), "strong")
+        links = _uses(read).join(_few(sums.select("pattern")), "pattern").select("pattern", "instance").union(seeds.select("pattern", "instance").join(_few(sums.select("pattern")), "pattern"))
+        n = links.distinct().groupBy("pattern").agg((F.count("*") + smoothing).alias("n"))
+        high = sums.join(n, "pattern").withColumn("high", _high(confidence, support)).filter(F.size("high") > 0)
+        patterns = stored(high.select("pattern", F.array_max("high").alias("best")), "patterns")
+        after = stored(_uses(read).join(_few(patterns), "pattern"), "after")
         if step + 1 < rounds:
-            reached = links.filter("kind is null").join(patterns, "pattern").groupBy("instance").agg(F.max("best").alias("best"))
-            reached = stored(reached, "instances")
-            own = lambda k: F.when(F.col("kind") == k, F.lit(1.0)).when(F.col("kind").isNull() & (F.col("best.kind") == k), F.col("best.score")).otherwise(0.0)
-            scored = links.join(reached, "instance", "left").select("pattern", "instance", "kind", *[own(k).alias(k) for k in KINDS])
-    new = uses.filter("kind is null").join(patterns, "pattern").groupBy("doc", "text_hash", "start", "end").agg(F.max("best").alias("best"))
+            reached = stored(after.groupBy("instance").agg(F.max("best").alias("best")), "instances")
+            if reached.isEmpty():
+                break
+            again = _uses(read).join(_few(reached), "instance").groupBy("pattern", "instance").agg(F.first("best").alias("best"))
+            scored = seeds.select("pattern", "kind", F.lit(1.0).alias("score")).union(again.select("pattern", "best.kind", "best.score"))
+    new = after.groupBy("doc", "text_hash", "place").agg(F.max("best").alias("best"))
+    known = read.select("doc", "text_hash", F.translate("masked", BLANKS, " " * len(BLANKS)).alias("flat")).distinct()
+    same = F.col("doc").eqNullSafe(F.col("known_doc")) & (F.col("text_hash") == F.col("known_hash"))
+    new = new.join(known.withColumnsRenamed({"doc": "known_doc", "text_hash": "known_hash"}), same)
+    begin = F.when(F.col("place") == 0, 0).otherwise(F.length(F.call_function("substring_index", F.col("flat"), F.lit(" "), F.col("place"))) + 1)
+    new = new.withColumn("begin", begin).withColumn("token", F.call_function("substring_index", F.substring(F.col("flat"), F.col("begin") + 1, F.length("flat")), F.lit(" "), F.lit(1)))
+    cut = F.ltrim(F.col("token"), F.lit(EDGES))
+    new = new.withColumn("start", (F.col("begin") + F.length("token") - F.length(cut)).cast("int"))
+    new = new.withColumn("end", (F.col("start") + F.length(F.rtrim(cut, F.lit(EDGES)))).cast("int"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("best.kind"))
     new = new.groupBy("doc", "text_hash").agg(F.collect_set(F.struct(rank.alias("rank"), "start", "end", F.col("best.kind").alias("kind"))).alias("new"))
     new = new.withColumnsRenamed({"doc": "new_doc", "text_hash": "new_hash"})

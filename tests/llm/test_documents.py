@@ -327,3 +327,14 @@ def test_personal_data(spark, awkward, empty):
     assert pii.find_personal_data(awkward).count() == awkward.count()
     assert pii.find_personal_data(awkward).columns[-2:] == ["_base", "_found"]
     assert pii.find_personal_data(empty).count() == 0
+
+
+def test_personal_data_counts_copies_once(spark):
+    same = [(i, "our office mail: desk@example.org as always") for i in range(20)] + [(None, "our office mail: DESK@example.org as always")]
+    rows = [*same, (100, "sent by mail: 12 copies"), (101, "what mail: nothing")]
+    rows += [(200 + i, f"reach them handle: user{i}x@host{i}.org now") for i in range(12)] + [(300, "reach them handle: (jdoe), now")]
+    rows += [(400 + i, f"the word: w{chr(97 + i)}") for i in range(9)] + [(420 + i, f"the word: a{i}@b.de") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    found = {r["doc_id"]: [(s["kind"], text[r["doc_id"]][s["start"] : s["end"]]) for s in r["found"]] for r in pii.find_personal_data(df).collect() if r["found"]}
+    assert found == {300: [("email", "jdoe")]}
