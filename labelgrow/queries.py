@@ -430,7 +430,7 @@ PLAIN = (
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in PLAIN}
     out |= {"path_bits": path_bits, "neighbourhood_bits": neighbourhood_bits, "pair_bits": pair_bits, "knn": nearest, "knn_predict": knn_votes, "grid_metrics": grid}
-    out |= {"logistic": _model_query("logistic"), "random_forest": _model_query("random_forest"), "gbt": _model_query("gbt", trees=30), "svc_rff": _model_query("svc")}
+    out |= {"logistic": _model_query("logistic"), "random_forest": _model_query("random_forest"), "gbt": _model_query("gbt"), "svc_rff": _model_query("svc")}
     return out | {"run_pipeline": pipeline_run}
 
 

@@ -110,3 +110,14 @@ def test_loop(spark, tmp_path):
     assert all(r["pseudo_label"] == truth[r["id"]] for r in done.selections.collect())
     small = run_loop(labeled, pool.limit(5), f"file://{tmp_path}", "knn")
     assert small.history == [] and small.best is not None
+
+
+def test_gbt_is_registered_with_its_default_rounds(spark, monkeypatch):
+    from labelgrow import queries
+    from labelgrow.plans.models import make_classifier
+
+    seen = {}
+    monkeypatch.setattr(queries, "evaluate_one", lambda name, sets, train, test, **parameters: seen.update({name: parameters}))
+    monkeypatch.setattr(queries, "grid_metrics", lambda made: made)
+    queries.queries()["gbt"](spark, "/root/testdata/sf0.001")
+    assert make_classifier("gbt", **seen["gbt"]).getMaxIter() == 100
