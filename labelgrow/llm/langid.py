@@ -42,34 +42,65 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
+def _hashes(chars: np.ndarray, new: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(order, buckets) of the n-grams that end in the last ``new`` characters, blanks alone left out."""
+    h = np.zeros(len(chars) + 1, np.uint64)
+    for n in ORDERS:
+        h = (h[: max(0, len(chars) - n + 1)] * np.uint64(0x9E3779B97F4A7C15) + chars[n - 1 :]) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)
+        yield n, ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)[max(0, len(chars) - new - n + 1) :]
+
+
+def _long_ngrams(text: str, buckets: int) -> Iterator[np.ndarray]:
+    """Buckets of a long text's n-grams, a window at a time; windows carry over what n-grams across them need."""
+    letter, tail, after_letter = _is_letter(), np.zeros(0, np.uint64), True
+    text = f" {text.lower()} "
+    for begin in range(0, len(text), AT_ONCE):
+        chars = np.frombuffer(text[begin : begin + AT_ONCE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        known = letter[chars]
+        keep = known | np.concatenate([[after_letter], known[:-1]])
+        after_letter = bool(known[-1])
+        here = known[keep]
+        chars = np.concatenate([tail, np.where(known, chars, np.uint32(32))[keep].astype(np.uint64)])
+        new = len(here)
+        yield np.concatenate([x[here] if n == 1 else x for n, x in _hashes(chars, new, buckets)])
+        tail = chars[max(0, len(chars) - max(ORDERS) + 1) :]
+
+
 def ngrams(texts: list[str | None], buckets: int = BUCKETS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end, buckets of n-grams, number of the text of each), for groups of texts; long texts come in parts."""
+    """(first text, end, buckets of n-grams, number of the text of each), for groups of texts.
+
+    A text of more than ``AT_ONCE`` characters is a group of its own and comes in windows. A text's
+    n-grams and their order depend on the text alone.
+    """
     letter = _is_letter()
     begin = 0
     while begin < len(texts):
+        if len(texts[begin] or "") > AT_ONCE:
+            for ids in _long_ngrams(texts[begin], buckets):
+                yield begin, begin + 1, ids, np.full(len(ids), begin)
+            begin += 1
+            continue
         end, size = begin, 0
-        while end < len(texts) and (end == begin or size < AT_ONCE):
+        while end < len(texts) and size < AT_ONCE and len(texts[end] or "") <= AT_ONCE:
             size += len(texts[end] or "")
             end += 1
-        for part in range(0, max(1, size), AT_ONCE) if end == begin + 1 else [0]:
-            own = [(x or "").lower() for x in texts[begin:end]] if end > begin + 1 else [(texts[begin] or "")[part : part + AT_ONCE].lower()]
-            chars = np.frombuffer("".join(f" {x} " for x in own).encode("utf-32-le", "surrogatepass"), np.uint32)
-            sizes = np.array([len(x) + 2 for x in own])
-            of = np.repeat(np.arange(begin, end), sizes)
-            known = letter[chars]
-            keep = known.copy()
-            keep[1:] |= known[:-1]
-            keep[np.cumsum(sizes) - sizes] = True
-            chars = np.where(known, chars, np.uint32(32))[keep].astype(np.uint64)
-            of, here = of[keep], known[keep]
-            ids, whose = [], []
-            h = np.zeros(len(chars) + 1, np.uint64)
-            for n in ORDERS:
-                h = (h[: max(0, len(chars) - n + 1)] * np.uint64(0x9E3779B97F4A7C15) + chars[n - 1 :]) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)
-                inside = here if n == 1 else of[n - 1 :] == of[: len(h)]
-                ids.append((h[inside] >> np.uint64(40)) % np.uint64(buckets))
-                whose.append(of[: len(h)][inside])
-            yield begin, end, np.concatenate(ids).astype(np.int64), np.concatenate(whose)
+        own = [(x or "").lower() for x in texts[begin:end]]
+        chars = np.frombuffer("".join(f" {x} " for x in own).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(x) + 2 for x in own])
+        of = np.repeat(np.arange(begin, end), sizes)
+        known = letter[chars]
+        keep = known.copy()
+        keep[1:] |= known[:-1]
+        keep[np.cumsum(sizes) - sizes] = True
+        chars = np.where(known, chars, np.uint32(32))[keep].astype(np.uint64)
+        of, here = of[keep], known[keep]
+        ids, whose = [], []
+        for n, x in _hashes(chars, len(chars), buckets):
+            first = of[: len(x)]
+            inside = here if n == 1 else of[n - 1 :] == first
+            ids.append(x[inside])
+            whose.append(first[inside])
+        yield begin, end, np.concatenate(ids), np.concatenate(whose)
         begin = end
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode, encode, n_ids
+from .bpe import encode, n_ids
 from .decontaminate import find_leaks
 from .jaccard_join import link_components
 from .langid import fit, held_out, identify
@@ -51,7 +51,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    done = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text"), path)
+    done = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, bytes_col="decoded")
     return done.select("doc_id", n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
