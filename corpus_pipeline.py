@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelgrow.llm.bpe import decode, encode, n_ids
+from labelgrow.llm.bpe import encode, n_ids
 from labelgrow.llm.decontaminate import find_leaks
 from labelgrow.llm.jaccard_join import link_components
 from labelgrow.llm.langid import fit, held_out, identify
@@ -62,7 +62,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    done = decode(encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text"), path)
+    done = encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, bytes_col="decoded")
     return done.select("doc_id", n_ids(F.col("ids")).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
