@@ -37,6 +37,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch of texts.
+TEXT_BATCH = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """The table, after its session was told to hand texts to Python in batches of at most ``TEXT_BATCH`` bytes.
+
+    Otherwise a batch is 10,000 texts of any length, of which JVM and worker hold several.
+    """
+    conf = df.sparkSession.conf
+    if int(str(conf.get(_BATCH)).rstrip("b") or 0) > TEXT_BATCH:
+        conf.set(_BATCH, str(TEXT_BATCH))
+    return df
+
+
+def split_join(rows: DataFrame, counted: DataFrame, key: str, n_col: str, total: int, most: int = 100_000, least: int = 1000) -> DataFrame:
+    """``rows`` joined with ``counted``, one row for each key, that says in ``n_col`` how many of the ``total`` rows have it.
+
+    Keys of more than ``total / most`` rows (and more than ``least``) are fewer than ``most``: they are
+    broadcast, so that their rows stay where they are. The others are joined by their key.
+    """
+    hot = F.broadcast(counted.filter(F.col(n_col) > max(least, total // most)).drop(n_col))
+    cold = counted.filter(F.col(n_col) <= max(least, total // most)).drop(n_col)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
