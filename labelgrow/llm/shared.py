@@ -53,7 +53,7 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def split_join(rows: DataFrame, counted: DataFrame, key: str, n_col: str, total: int, most: int = 100_000, least: int = 1000) -> DataFrame:
+def split_join(rows: DataFrame, counted: DataFrame, key: str | list[str], n_col: str, total: int, most: int = 100_000, least: int = 1000) -> DataFrame:
     """``rows`` joined with ``counted``, one row for each key, that says in ``n_col`` how many of the ``total`` rows have it.
 
     Keys of more than ``total / most`` rows (and more than ``least``) are fewer than ``most``: they are
@@ -61,7 +61,7 @@ def split_join(rows: DataFrame, counted: DataFrame, key: str, n_col: str, total:
     """
     hot = F.broadcast(counted.filter(F.col(n_col) > max(least, total // most)).drop(n_col))
     cold = counted.filter(F.col(n_col) <= max(least, total // most)).drop(n_col)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(cold, key))
 
 
 def ascii_lower(c: Column) -> Column:

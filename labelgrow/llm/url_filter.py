@@ -1,27 +1,32 @@
 """URL filter by rules and by a tree of path templates.
 
 Rules decide first: the longest one that fits a URL. For the others, templates do. In each path every
-run of digits becomes a variable; these paths form a tree per host, whose nodes hold how many URLs and
-how many labelled ones pass. A node whose children are many and mostly rare is variable: its
-rare children become one wildcard. Children whose share of blocked URLs is within ``z`` standard errors of their parent's
-merge into that wildcard; only those that differ keep their branch. A template is rejected if its
-purity, the share of blocked among its labelled URLs, smoothed by its host's, that by its suffix's and
-that by the whole table's, is above ``reject``. Labels are the rules' own verdicts, or those given.
+run of digits becomes a variable; these paths form a tree per host, and one of all hosts together. The
+trees are generalised level by level from the root, each level below parents that are generalised
+already. Where the children of a node are many and mostly rare, the rare ones become one wildcard.
+Children whose share of blocked URLs is within ``z`` standard errors of their parent's, and those
+without labels, merge into that wildcard with all that is below them; only those that differ keep
+their branch. Segments from ``depth`` on are one.
 
-URLs are aggregated to (host, path with variables) before any shuffle of the tree, so a host of a third
-of all rows is a few rows there; the templates go back by a join that Spark broadcasts only below its
-size limit.
+A template is rejected if its purity, the share of blocked among its labelled URLs, is above ``reject``.
+It is smoothed by the share of its host, that by the share of the template that the path has in the tree
+of all hosts, so that hosts without labels borrow from others with paths of the same form, and that by
+the share of all labelled URLs. Labels are the rules' own verdicts, or those given.
+
+URLs are aggregated to (host, path with variables) before any shuffle of the tree. What is known of a
+node goes back to its rows by joins in which nodes of many rows are split (``split_join``).
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and is judged with the others
 of that kind. Repeated rows stay. Without any label, templates have the purity ``prior`` and pass.
+Other columns ride along; if the table has one of the new names, the new column gets a leading underscore.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, stored
+from .shared import ascii_lower, fresh, split_join, stored
 
 #: Host, path, verdict.
 RULES = [
@@ -57,45 +62,58 @@ def with_variables(path: Column) -> Column:
     return F.regexp_replace(path, r"[0-9]+", "{n}")
 
 
-def template_purity(
-    urls: DataFrame, z: float = 2.0, many: int = 16, rare: float = 4.0, weight: float = 10.0, prior: float = 0.5
-) -> DataFrame:
-    """(host, shape, template, purity) of every (host, shape) of a table (host, shape, blocked int or null)."""
-    shapes = stored(
-        urls.groupBy("host", "shape").agg(
-            F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).cast("long").alias("blocked")
-        ),
-        "shapes",
-    )
+SUMS = ("n", "labelled", "blocked")
+
+
+def _sums(*more: Column) -> list[Column]:
+    return [*[F.sum(c).alias(c) for c in SUMS], *more]
+
+
+def generalised(shapes: DataFrame, z: float = 2.0, many: int = 16, rare: float = 4.0, depth: int = 12) -> DataFrame:
+    """(tree, shape, n, labelled, blocked, template) of a table (tree, shape, n, labelled, blocked)."""
     parts = F.split("shape", "/", -1)
-    nodes = shapes.select("host", "shape", "n", "labelled", "blocked", F.posexplode(parts).alias("depth", "child")).withColumn(
-        "parent", F.array_join(F.slice(parts, 1, F.col("depth")), "/")
-    )
-    children = nodes.groupBy("host", "depth", "parent", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-    parents = children.groupBy("host", "depth", "parent").agg(
-        F.count("*").alias("n_children"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")]
-    )
-    share = F.try_divide("all_blocked", "all_labelled")
-    error = F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1)) + F.lit(0.25) / F.greatest("labelled", F.lit(1)) / F.lit(4))
-    similar = (F.col("labelled") == 0) | (F.abs(F.try_divide("blocked", "labelled") - share) <= z * error)
-    variable = (F.col("n_children") > many) & (F.col("all_n") < rare * F.col("n_children"))
-    branches = children.join(parents, ["host", "depth", "parent"]).select(
-        "host", "depth", "parent", "child", F.when((variable & (F.col("n") < rare)) | (similar & (F.col("n_children") > 1)), F.lit("*")).otherwise(F.col("child")).alias("branch")
+    parts = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(F.array_join(F.slice(parts, depth, F.size(parts)), "/")))).otherwise(parts)
+    now = stored(shapes.withColumn("parts", parts).withColumn("template", F.lit("")), "tree")
+    done = None
+    for level in range(now.agg(F.max(F.size("parts"))).first()[0] or 0):
+        ended = now.filter(F.size("parts") <= level)
+        done = ended if done is None else done.unionByName(ended)
+        here = now.filter(F.size("parts") > level).withColumn("child", F.col("parts")[level])
+        children = stored(here.groupBy("tree", "template", "child").agg(*_sums(F.count("*").alias("n_rows"))), "children")
+        parents = children.groupBy("tree", "template").agg(F.count("*").alias("n_children"), *[F.sum(c).alias(f"all_{c}") for c in SUMS])
+        both = split_join(children, stored(parents.withColumn("rows", F.col("n_children")), "parents"), ["tree", "template"], "rows", children.count())
+        share = F.try_divide("all_blocked", "all_labelled")
+        error = F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1)) + F.lit(0.25) / F.greatest("labelled", F.lit(1)) / F.lit(4))
+        similar = (F.col("labelled") == 0) | (F.abs(F.try_divide("blocked", "labelled") - share) <= z * error)
+        variable = (F.col("n_children") > many) & (F.col("all_n") < rare * F.col("n_children")) & (F.col("n") < rare)
+        branch = F.when(variable | (similar & (F.col("n_children") > 1)), F.lit("*")).otherwise(F.col("child"))
+        branches = stored(both.select("tree", "template", "child", "n_rows", branch.alias("branch")), "branches")
+        named = split_join(here, branches, ["tree", "template", "child"], "n_rows", here.count())
+        grown = F.col("branch") if level == 0 else F.concat("template", F.lit("/"), "branch")
+        now = stored(named.withColumn("template", grown).select(*now.columns), "tree")
+    return (now if done is None else done.unionByName(now)).select("tree", "shape", *SUMS, "template")
+
+
+def template_purity(urls: DataFrame, weight: float = 10.0, prior: float = 0.5, **tree: float) -> DataFrame:
+    """(host, shape, n, template, purity) of every (host, shape) of a table (host, shape, blocked int or null)."""
+    counts = [F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).cast("long").alias("blocked")]
+    shapes = stored(urls.groupBy("host", "shape").agg(*counts), "shapes")
+    total = shapes.count()
+    own = stored(generalised(shapes.withColumnRenamed("host", "tree"), **tree).withColumnRenamed("tree", "host"), "own")
+    pooled = stored(generalised(shapes.groupBy(F.lit("").alias("tree"), "shape").agg(*_sums()), **tree).select("shape", *SUMS, "template"), "pooled")
+    as_level = lambda rows, level, *by: rows.groupBy(*by).agg(
+        F.count("*").alias("rows"), F.sum("labelled").alias(f"{level}_labelled"), F.sum("blocked").alias(f"{level}_blocked")
     )
-    named = (
-        nodes.select("host", "shape", "depth", "parent", "child")
-        .join(branches, ["host", "depth", "parent", "child"])
-        .groupBy("host", "shape")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "branch"))), lambda x: x["branch"]), "/").alias("template"))
-    )
-    counted = shapes.join(named, ["host", "shape"]).withColumn("suffix", F.substring_index("host", ".", -1))
-    total = lambda *by: [F.sum(c).over(Window.partitionBy(*by)).alias(f"{by[-1]}_{c}") for c in ("labelled", "blocked")]
-    smooth = lambda level, below: (F.col(f"{level}_blocked") + weight * below) / (F.col(f"{level}_labelled") + weight)
-    everything = shapes.agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
-    suffixes = counted.groupBy("suffix").agg(F.sum("labelled").alias("suffix_labelled"), F.sum("blocked").alias("suffix_blocked"))
-    summed = counted.select("*", *total("host"), *total("host", "template")).join(suffixes, "suffix").join(F.broadcast(everything))
-    purity = smooth("template", smooth("host", smooth("suffix", smooth("all", F.lit(prior)))))
-    return summed.select("host", "shape", "template", purity.alias("purity"))
+    known = own.select("host", "shape", "n", "template")
+    known = split_join(known, stored(as_level(own, "template", "host", "template"), "sums"), ["host", "template"], "rows", total)
+    known = split_join(known, stored(as_level(own, "host", "host"), "sums"), "host", "rows", total)
+    others = split_join(pooled.select("shape", "template"), stored(as_level(pooled, "pooled", "template"), "sums"), "template", "rows", pooled.count()).drop("template")
+    others = others.join(shapes.groupBy("shape").agg(F.count("*").alias("rows")), "shape")
+    known = split_join(known, stored(others, "others"), "shape", "rows", total)
+    everything = pooled.agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+    smooth = lambda level, below: (F.coalesce(F.col(f"{level}_blocked"), F.lit(0)) + weight * below) / (F.coalesce(F.col(f"{level}_labelled"), F.lit(0)) + weight)
+    purity = smooth("template", smooth("host", smooth("pooled", smooth("all", F.lit(prior)))))
+    return known.join(F.broadcast(everything)).select("host", "shape", "n", "template", purity.alias("purity"))
 
 
 def judge_urls(
@@ -108,22 +126,18 @@ def judge_urls(
 ) -> DataFrame:
     """The table with host, path, rule, verdict, template and purity.
 
-    ``label_col`` may name a boolean column (true: to block) to learn from instead of the rules'
-    verdicts. Columns of the table that have one of the new names are replaced.
+    ``label_col`` may name a boolean column (true: to block) to learn from instead of the rules' verdicts.
     """
     rules = RULES if rules is None else rules
-    host, path = F.col("host"), F.col("path")
-    new = ["host", "path", "rule", "verdict", "template", "purity"]
-    kept = pages.drop(*[c for c in new if c != url_col and c != label_col])
-    base = (
-        kept.withColumn("host", url_host(F.col(url_col)))
-        .withColumn("path", url_path(F.col(url_col)))
-        .withColumn("rule", longest_rule(host, path, rules))
-        .withColumn("ruled", longest_rule(host, path, rules, 2))
-        .withColumn("shape", with_variables(path))
-    )
-    blocked = F.col(label_col).cast("int") if label_col else (F.col("ruled") == "block").cast("int")
+    new = fresh(pages, "host", "path", "rule", "verdict", "template", "purity")
+    host, path = url_host(F.col("url")), url_path(F.col("url"))
+    base = pages.select(F.struct("*").alias("row"), F.col(url_col).alias("url"), (F.col(label_col) if label_col else F.lit(None)).cast("int").alias("label"))
+    base = base.select("row", "label", host.alias("host"), path.alias("path"))
+    rule = {name: longest_rule(F.col("host"), F.col("path"), rules, value) for name, value in (("rule", None), ("ruled", 2))}
+    base = base.select("*", *[c.alias(name) for name, c in rule.items()], with_variables(F.col("path")).alias("shape"))
+    blocked = F.col("label") if label_col else (F.col("ruled") == "block").cast("int")
     purity = stored(template_purity(base.select("host", "shape", blocked.alias("blocked")), **tree), "templates")
     learnt = F.when(F.col("purity") > reject, F.lit("block")).otherwise(F.lit("allow"))
-    judged = base.join(purity, ["host", "shape"], "left")
-    return judged.select(*kept.columns, "host", "path", "rule", F.coalesce("ruled", learnt).alias("verdict"), "template", "purity")
+    judged = split_join(base, purity, ["host", "shape"], "n", purity.agg(F.sum("n")).first()[0] or 0)
+    made = ["host", "path", "rule", F.coalesce("ruled", learnt), "template", "purity"]
+    return judged.select("row.*", *[(F.col(c) if isinstance(c, str) else c).alias(name) for c, name in zip(made, new, strict=True)])

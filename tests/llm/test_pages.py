@@ -1,6 +1,7 @@
 """Archives and URLs against plain Python."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,10 +79,60 @@ def test_rules_match_by_hand(spark):
     odd = [None, "", "x", "http://", "HTTP://EXAMPLE.ORG/ES/", "http://example.org/es/", "http://a.example.org/en/12", "http://a.example.org/en/2", "http://org", "http://org/", "http://xorg/", "http://notexample.org/es/", "http://É.Com/de/?q", "http://com#/fr/", "a://b.com/fr/x://y", "http://u@h.com:80/de/1"]
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url").union(spark.createDataFrame([(10**6 + i, u) for i, u in enumerate(odd)], "page_id long, url string"))
     urls = {r["page_id"]: r["url"] for r in pages.collect()}
-    for r in url_filter.judge_urls(pages.withColumn("host", F.lit("clash")).withColumn("shape", F.lit(1)).drop("shape")).collect():
+    clash = pages.withColumns({c: F.lit(f"own {c}") for c in ("host", "path", "rule", "verdict", "template", "purity", "shape", "ruled", "row", "n", "label")})
+    for r in url_filter.judge_urls(clash).collect():
         host, path, rule, verdict = judged_by_hand(urls[r["page_id"]])
-        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
-        assert r["verdict"] in ("allow", "block") and (verdict is None or r["verdict"] == verdict)
+        assert (r["_host"], r["_path"], r["_rule"]) == (host, path, rule)
+        assert r["_verdict"] in ("allow", "block") and (verdict is None or r["_verdict"] == verdict)
+        assert all(r[c] == f"own {c}" for c in clash.columns[2:])
+    judged = url_filter.judge_urls(pages).filter("rule is null and host like '%.net'").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in judged} == {"allow", "block"}  # hosts without labels borrow from others
+
+
+def tree_by_hand(rows, z=2.0, many=16, rare=4.0):
+    """The template of each (tree, shape), by recursion; rows are (tree, shape, n, labelled, blocked)."""
+    out = {}
+
+    def below(items, tree, prefix, level):
+        done = [x for x in items if len(x[1]) <= level]
+        for x in done:
+            out[tree, "/".join(x[1])] = prefix
+        children = {}
+        for x in items:
+            if len(x[1]) > level:
+                children.setdefault(x[1][level], []).append(x)
+        if not children:
+            return
+        total = [sum(x[k] for g in children.values() for x in g) for k in (2, 3, 4)]
+        branches = {}
+        for child, g in children.items():
+            n, labelled, blocked = (sum(x[k] for x in g) for k in (2, 3, 4))
+            share = total[2] / total[1] if total[1] else None
+            similar = labelled == 0 or abs(blocked / labelled - share) <= z * (share * (1 - share) / max(labelled, 1) + 0.25 / max(labelled, 1) / 4) ** 0.5
+            variable = len(children) > many and total[0] < rare * len(children) and n < rare
+            branches.setdefault("*" if variable or (similar and len(children) > 1) else child, []).extend(g)
+        for branch, g in branches.items():
+            below(g, tree, branch if level == 0 else f"{prefix}/{branch}", level + 1)
+
+    for tree in {r[0] for r in rows}:
+        below([(t, s.split("/"), *c) for t, s, *c in rows if t == tree], tree, "", 0)
+    return out
+
+
+def test_tree_matches_recursion(spark):
+    rng = random.Random(4)
+    rows = {}
+    for _ in range(600):
+        tree, shape = f"h{rng.randrange(3)}", "/" + "/".join(rng.choice(["en", "fr", "shop", f"s{rng.randrange(60)}"]) for _ in range(rng.randrange(4)))
+        n, bad = rng.randrange(1, 6), "fr" in shape or "s1" in shape
+        labelled = rng.randrange(n + 1)
+        old = rows.get((tree, shape), (0, 0, 0))
+        rows[tree, shape] = (old[0] + n, old[1] + labelled, old[2] + labelled * bad)
+    flat = [(*k, *v) for k, v in rows.items()]
+    df = spark.createDataFrame(flat, "tree string, shape string, n long, labelled long, blocked long")
+    got = {(r["tree"], r["shape"]): r["template"] for r in url_filter.generalised(df).collect()}
+    assert got == tree_by_hand(flat)
+    assert url_filter.generalised(df.limit(0)).count() == 0
 
 
 def test_templates_learn_bad_branches(spark):
