@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh
+from .shared import fresh, text_batches
 from .shingles import parts
 
 #: Bytes of pre-tokens and ids that a task keeps in each of two generations, each entry counted with ``ENTRY`` more.
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
         del encoder
         pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, _added(docs, names))
+    return text_batches(docs).mapInArrow(run, _added(docs, names))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -248,7 +248,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "d
             out = _decoded(pairs, batch.column(batch.schema.get_field_index(ids_col)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, bytes_col])
 
-    return docs.mapInArrow(run, _added(docs, [bytes_col]))
+    return text_batches(docs).mapInArrow(run, _added(docs, [bytes_col]))
 
 
 def n_ids(packed: Column) -> Column:

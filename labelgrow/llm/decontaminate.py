@@ -2,13 +2,15 @@
 
 Tokens are runs of letters and digits in lower case. Documents meet benchmark items through seeds,
 shared runs of ``min_match`` tokens. An item whose seed-covered tokens could reach ``threshold`` is
-tiled against the whole document: running Karp-Rabin hashes find all maximal matches of at least the
-current length, the longest that don't overlap are marked, and the length is halved down to
+tiled against the document's parts that seeds cover: running Karp-Rabin hashes tell how long the longest
+match of unmarked tokens is, matches of that length are marked from the left, and so on down to
 ``min_match``, so that passages whose parts stand in another order are covered as well. A document is
-contaminated by the items of which marked tiles cover at least ``threshold``.
+contaminated by the items of which marked tiles cover at least ``threshold``. Memory is in proportion to
+the document, however often it repeats itself.
 
-The benchmark is a stated query set: it goes to the tasks in blocks of at most ``block_bytes`` of text,
-however large it is, and documents aren't shuffled at all.
+The benchmark is a stated query set. If it has at most ``block_bytes`` of text, it is broadcast and
+documents aren't shuffled at all. A longer one is taken block by block: each pass over the texts holds one
+block and stores what it finds by the texts' digests, and all that was found is joined to the documents.
 
 Defined cases: a null or empty text matches nothing; nor does an item of fewer than ``min_match`` tokens
 or without an id. Repeated rows and repeated items are judged each for itself. An empty benchmark
@@ -18,6 +20,7 @@ matches nothing. Other columns ride along.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -27,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh
+from .shared import fresh, stored, text_batches
 from .shingles import NOT_ALNUM, mix, parts, words
 
 MIN_MATCH, THRESHOLD, BLOCK_BYTES = 5, 0.5, 16 << 20
 _BASE = 0xD6E8FEB86659FD93
+#: Tokens between runs, which no item has.
+_GAP = np.uint64(0xA3B195354A39B70D)
 TILE = "struct<item_at:int,doc_at:int,length:int>"
 MATCH = f"struct<item_id:bigint,coverage:double,n_tokens:int,tiles:array<{TILE}>>"
 
@@ -43,62 +48,94 @@ def tokens(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return words(pc.utf8_lower(column.cast(pa.large_string())), NOT_ALNUM)
 
 
-def running_hashes(x: np.ndarray, length: int) -> np.ndarray:
-    """Karp-Rabin hashes modulo 2**64 of all windows of a length."""
-    n = len(x) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+def _running(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and factors from which the Karp-Rabin hashes of windows of any length follow."""
     power = np.full(len(x), _BASE, np.uint64)
-    power[0] = 1
+    power[:1] = 1
     inverse = np.full(len(x), pow(_BASE, -1, 2**64), np.uint64)
-    inverse[0] = 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * np.multiply.accumulate(power), dtype=np.uint64)])
-    return mix((total[length:] - total[:n]) * np.multiply.accumulate(inverse)[:n])
-
-
-def _matches(item: np.ndarray, doc: np.ndarray, free_item: np.ndarray, free_doc: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(length, place in the item, in the document) of all maximal unmarked matches of at least ``length`` tokens."""
-    whole = lambda free: np.flatnonzero(np.convolve(free, np.ones(length, int), "valid") == length) if len(free) >= length else np.zeros(0, int)
-    i_at, j_at = whole(free_item), whole(free_doc)
-    if not len(i_at) or not len(j_at):
-        return []
-    i_hash, j_hash = running_hashes(item, length)[i_at], running_hashes(doc, length)[j_at]
-    hit = np.isin(j_hash, i_hash)
-    j_at, j_hash = j_at[hit], j_hash[hit]
-    order = np.argsort(j_hash, kind="stable")
-    j_at, j_hash = j_at[order], j_hash[order]
-    lo, n = np.searchsorted(j_hash, i_hash), np.searchsorted(j_hash, i_hash, "right") - np.searchsorted(j_hash, i_hash)
-    i = np.repeat(i_at, n)
-    j = j_at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    before = (i > 0) & (j > 0)
-    before[before] = (item[i[before] - 1] == doc[j[before] - 1]) & free_item[i[before] - 1] & free_doc[j[before] - 1]
-    i, j = i[~before], j[~before]
-    size = np.zeros(len(i), int)
-    alive = np.arange(len(i))
-    while len(alive):
-        a, b = i[alive] + size[alive], j[alive] + size[alive]
-        inside = (a < len(item)) & (b < len(doc))
-        alive, a, b = alive[inside], a[inside], b[inside]
-        alive = alive[(item[a] == doc[b]) & free_item[a] & free_doc[b]]
-        size[alive] += 1
-    return [(int(s), int(a), int(b)) for s, a, b in zip(size, i, j, strict=True) if s >= length]
+    inverse[:1] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * np.multiply.accumulate(power), dtype=np.uint64)])
+    return sums, np.multiply.accumulate(inverse)
+
+
+def _windows(running: tuple[np.ndarray, np.ndarray], at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes modulo 2**64 of the windows of a length that begin at the given places."""
+    sums, inverse = running
+    return mix((sums[at + length] - sums[at]) * inverse[at])
+
+
+def running_hashes(x: np.ndarray, length: int) -> np.ndarray:
+    """Karp-Rabin hashes modulo 2**64 of all windows of a length."""
+    return _windows(_running(x), np.arange(max(0, len(x) - length + 1)), length)
+
+
+def _free(marked: np.ndarray, length: int) -> np.ndarray:
+    """Where windows without a marked token begin."""
+    if len(marked) < length:
+        return np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(marked)])
+    return np.flatnonzero(total[length:] == total[:-length])
 
 
 def greedy_tiles(item: np.ndarray, doc: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Tiles (place in the item, in the document, length): longest first, the leftmost of equal ones, none overlapping."""
-    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
-    tiles, length = [], max(min_match, len(item) // 2)
-    while True:
-        marked = False
-        for size, i, j in sorted(_matches(item, doc, free_item, free_doc, length), key=lambda x: (-x[0], x[1:])):
-            if free_item[i : i + size].all() and free_doc[j : j + size].all():
-                free_item[i : i + size] = free_doc[j : j + size] = False
-                tiles.append((i, j, size))
-                marked = True
-        if not marked:
-            if length == min_match:
-                return tiles
-            length = max(min_match, length // 2)
+    """Tiles (place in the item, in the document, length), none overlapping.
+
+    The longest match of unmarked tokens comes first; of equal ones the leftmost in the item, then in
+    the document.
+    """
+    run_item, run_doc = _running(item), _running(doc)
+    used_item, used_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+
+    def shared(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        i, j = _free(used_item, length), _free(used_doc, length)
+        i_hash, j_hash = _windows(run_item, i, length), _windows(run_doc, j, length)
+        i_in, j_in = np.isin(i_hash, j_hash), np.isin(j_hash, i_hash)
+        return i[i_in], i_hash[i_in], j[j_in], j_hash[j_in]
+
+    tiles, most = [], min(len(item), len(doc))
+    while most >= min_match:
+        low, high, best = min_match, most, None
+        while low <= high:  # a match of some length holds matches of all smaller ones
+            length = (low + high) // 2
+            found = shared(length)
+            if len(found[0]):
+                low, best = length + 1, (length, found)
+            else:
+                high = length - 1
+        if best is None:
+            return tiles
+        most, (i_at, i_hash, j_at, j_hash) = best
+        order = np.argsort(j_hash, kind="stable")
+        j_at, j_hash = j_at[order], j_hash[order]
+        begin, end = np.searchsorted(j_hash, i_hash), np.searchsorted(j_hash, i_hash, "right")
+        passed: dict[int, int] = {}  # of the places of a hash, those before are marked
+        for i, a, b in zip(i_at.tolist(), begin.tolist(), end.tolist(), strict=True):
+            if used_item[i : i + most].any():
+                continue
+            at = passed.get(a, a)
+            while at < b:
+                j = int(j_at[at])
+                blocked = np.flatnonzero(used_doc[j : j + most])
+                if not len(blocked):
+                    used_item[i : i + most] = used_doc[j : j + most] = True
+                    tiles.append((i, j, most))
+                    break
+                at += int(np.searchsorted(j_at[at:b], j + int(blocked[-1]) + 1))
+            passed[a] = at
+    return tiles
+
+
+def _covered(doc: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of windows at these places, runs parted by one that matches nothing, and where each stood."""
+    inside = np.zeros(len(doc) + 1, np.int32)
+    np.add.at(inside, places, 1)
+    np.add.at(inside, places + length, -1)
+    inside = np.cumsum(inside[:-1]) > 0
+    edge = ~inside & np.concatenate([[False], inside[:-1]])
+    at = np.flatnonzero(inside | edge)
+    own = doc[at].copy()
+    own[edge[at]] = np.arange(int(edge.sum()), dtype=np.uint64) * np.uint64(2) + _GAP
+    return own, at
 
 
 class _Items:
@@ -126,8 +163,9 @@ class _Items:
             out[some] = self.known[at] == values[some]
         return out
 
-    def judge(self, doc: np.ndarray, found: np.ndarray, min_match: int, threshold: float) -> list[dict]:
-        """Matches of a document whose seeds that items have are ``found``."""
+    def judge(self, doc: np.ndarray, places: np.ndarray, found: np.ndarray, min_match: int, threshold: float) -> list[dict]:
+        """Matches of a document that has the items' seeds ``found`` at ``places``."""
+        own = where = None
         covered: dict[int, np.ndarray] = {}
         for s in np.unique(found):
             for at in range(np.searchsorted(self.seed, s), np.searchsorted(self.seed, s, "right")):
@@ -136,7 +174,9 @@ class _Items:
         out = []
         for i, cover in sorted(covered.items()):
             if cover.mean() >= threshold:
-                tiles = greedy_tiles(self.items[i], doc, min_match)
+                if own is None:
+                    own, where = _covered(doc, places, min_match)
+                tiles = [(a, int(where[b]), n) for a, b, n in greedy_tiles(self.items[i], own, min_match)]
                 coverage = sum(x[2] for x in tiles) / len(cover)
                 if coverage >= threshold:
                     names = ("item_at", "doc_at", "length")
@@ -174,28 +214,38 @@ def find_leaks(
             ]
         )
     )
-    out = docs.withColumn(out_col, F.array().cast(kind))
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").toArrow()
+    none = text_batches(docs).withColumn(out_col, F.array().cast(kind))
+
+    def judged(rows: DataFrame, block: int) -> DataFrame:
+        own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").toArrow()
         shared = docs.sparkSession.sparkContext.broadcast((own.column("id").to_pylist(), own.column("text").to_pylist()))
+        text, last = rows.columns.index(text_col), rows.columns.index(out_col)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, texts = shared.value
-            block = _Items(ids, pa.array(texts, pa.large_string()), min_match)
-            for batch in chain.from_iterable(parts(b, b.schema.get_field_index(text_col)) for b in batches):
-                hashes, at = tokens(batch.column(batch.schema.get_field_index(text_col)))
+            held = _Items(ids, pa.array(texts, pa.large_string()), min_match)
+            for batch in chain.from_iterable(parts(b, text) for b in batches):
+                hashes, at = tokens(batch.column(text))
                 seeds = running_windows(hashes, min_match)
-                hit = np.flatnonzero(block.among(seeds))
+                hit = np.flatnonzero(held.among(seeds))
                 hit = hit[at[np.searchsorted(at, hit, "right")] >= hit + min_match]
                 of = np.searchsorted(at, hit, "right") - 1
-                last = batch.schema.get_field_index(out_col)
-                found = batch.column(last).to_pylist()
+                found: list[list[dict]] = [[]] * batch.num_rows
                 for i in np.unique(of):
-                    found[i] = found[i] + block.judge(hashes[at[i] : at[i + 1]], seeds[hit[of == i]], min_match, threshold)
+                    here = hit[of == i]
+                    found[i] = held.judge(hashes[at[i] : at[i + 1]], here - at[i], seeds[here], min_match, threshold)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(found, arrow)], names=batch.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+        return rows.mapInArrow(run, rows.schema)
+
+    if blocks <= 1:
+        return judged(none, 0) if blocks else none
+    (digest,) = fresh(none, "digest")
+    texts = none.select(text_col, out_col)
+    each = [stored(judged(texts, b).filter(F.size(out_col) > 0).select(F.unhex(F.md5(text_col)).alias(digest), out_col).distinct(), "leaks") for b in range(blocks)]
+    leaks = reduce(DataFrame.union, each).groupBy(digest).agg(F.array_sort(F.flatten(F.collect_list(out_col))).alias("_all_leaks"))
+    joined = none.withColumn(digest, F.unhex(F.md5(text_col))).join(leaks, digest, "left")
+    return joined.withColumn(out_col, F.coalesce("_all_leaks", out_col)).select(*none.columns)
 
 
 def running_windows(hashes: np.ndarray, length: int, step: int = 1 << 18) -> np.ndarray:

@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import fresh, stored
+from .shared import fresh, stored, text_batches
 from .shingles import shingle_sets
 
 K, PERCENT = 5, 80
 #: Classes and n-grams in a chunk, about; one class may have more.
 CHUNK_SETS, CHUNK_ITEMS = 1024, 500_000
 #: Rows of (id, class) that are broadcast; above this their texts are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 200_000
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -81,7 +81,7 @@ def _sampled(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, nodes, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists], [*names, *new])
 
     rest = [f for f in docs.schema.fields if f.name != text_col]
-    return docs.mapInArrow(run, T.StructType([*rest, *[T.StructField(n, t) for n, t in fields]]))
+    return text_batches(docs).mapInArrow(run, T.StructType([*rest, *[T.StructField(n, t) for n, t in fields]]))
 
 
 def _families(rows: DataFrame, percent: int) -> DataFrame:

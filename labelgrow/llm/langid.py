@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh
+from .shared import fresh, text_batches
 from .shingles import parts
 
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3, 4)
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
             )
 
     taught = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
-    sums = taught.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = text_batches(taught).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     packed = sums.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
     rows = packed.limit(MOST_LANGUAGES + 1).toArrow().to_pylist()
     if len(rows) > MOST_LANGUAGES:
@@ -177,7 +177,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
                 [*batch.columns, pa.array(names[best], pa.string()), pa.array(p, pa.float64())], [*batch.schema.names, lang_out, score_out]
             )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
+    return text_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, stored
+from .shared import fresh, stored, text_batches
 from .shingles import shingle_sets, shingles, slices
 
 SLOTS, SHINGLE = 128, 5
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "finger
             made = pa.array(_hex(signatures(batch.column(batch.schema.get_field_index(text_col)), slots, k)), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.StringType())]))
+    return text_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, k: int = SHINGLE) -> DataFrame:
@@ -155,7 +155,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 names=schema.names,
             )
 
-    return dealt.mapInArrow(run, schema)
+    return text_batches(dealt).mapInArrow(run, schema)
 
 
 def near_duplicates(

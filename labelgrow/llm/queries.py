@@ -57,9 +57,9 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
-    write_arc(page_responses(_table(spark, sf_dir, "pages")), arc)
+    per_file = write_arc(page_responses(_table(spark, sf_dir, "pages")), arc)
     legacy = read_arc(spark, arc)
-    write_warc(mark_revisits(convert(legacy), convert(legacy, with_block=False)), warc)
+    write_warc(mark_revisits(convert(legacy), convert(legacy, with_block=False)), warc, per_file)
     records = read_warc(spark, warc, with_block=False).filter(F.col("warc_type") != "warcinfo")
     return records.select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to_key").alias("refers_to")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, text_batches
 from .shingles import U, _power_tables, mix, parts, words
 
 NO_ID = -(2**63)
@@ -64,7 +64,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(text_col), F.col(text_col))
-    return base.mapInArrow(run, "doc long, text_hash long, unit int, start int, end int, n_words int, digest binary")
+    return text_batches(base).mapInArrow(run, "doc long, text_hash long, unit int, start int, end int, n_words int, digest binary")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 50) -> DataFrame:

@@ -8,6 +8,8 @@ an ISO time, its type, and SHA-256 digests of block and payload. Equal payloads
 archives, as its rows may hold any bytes and any line end, so archives go to and come from any store
 that Spark has.
 
+Only a file's first record can describe it; elsewhere such a URL is a record like others.
+
 Defined cases: a null payload is empty; a null URL is ``-``; blanks and controls in a URL are
 percent-encoded. Rows that repeat are records of their own; of records with equal key and payload the
 one with the smallest record id is the response. An empty table gives archives without records. A
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, text_batches
 
 #: Bytes of records in a file, about.
 FILE_BYTES = 64 << 20
@@ -79,8 +81,11 @@ def _write_blocks(rows: DataFrame, path: str, line_sep: str, per_file: int) -> N
     rows.select(F.col(column).cast("string").alias("value")).write.option("lineSep", line_sep).options(compression="gzip", maxRecordsPerFile=per_file, **FAST).text(path)
 
 
-def write_arc(responses: DataFrame, path: str, version: int = 1) -> None:
-    """Archives of a table (url, ip, arc_date, mime, status, block): what legacy crawls left behind."""
+def write_arc(responses: DataFrame, path: str, version: int = 1) -> int:
+    """Archives of a table (url, ip, arc_date, mime, status, block): what legacy crawls left behind.
+
+    Returns how many records a file holds at most.
+    """
     per_file = _per_file(responses, F.octet_length("block"))
     columns = ["url", "ip", "arc_date", "mime", "status", "block"]
 
@@ -99,7 +104,8 @@ def write_arc(responses: DataFrame, path: str, version: int = 1) -> None:
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    _write_blocks(responses.select(*columns).mapInArrow(run, "record binary"), path, "\n", per_file)
+    _write_blocks(text_batches(responses).select(*columns).mapInArrow(run, "record binary"), path, "\n", per_file)
+    return per_file
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[int, int, str, str, str, str, str | None, bytes]]:
@@ -111,7 +117,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, int, str, str, str, str, str |
             continue
         end = data.find(b"\n", at)
         line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
-        if line.startswith("filedesc://"):
+        if at == 0 and line.startswith("filedesc://"):
             length = int(line.rsplit(" ", 1)[-1])
             m = re.match(rb"([12]) ", data[end + 1 : end + 1 + length])
             if end < 0 or not m:
@@ -167,7 +173,7 @@ def convert(arc: DataFrame, key_header: str = "X-Page-Id", with_block: bool = Tr
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for x in batch.to_pylist():
-                    block, about = x["block"], x["url"].startswith("filedesc://")
+                    block, about = x["block"], x["offset"] == 0 and x["url"].startswith("filedesc://")
                     payload = http_payload(block)
                     http = block.startswith(b"HTTP/")
                     key = _http_header(block, key_header)
@@ -178,7 +184,7 @@ def convert(arc: DataFrame, key_header: str = "X-Page-Id", with_block: bool = Tr
                         x["url"],
                         iso_time(x["arc_date"]),
                         x["ip"],
-                        "application/warc-fields" if about else "application/http; msgtype=response" if http else x["mime"],
+                        "application/http; msgtype=response" if http else x["mime"],
                         int(key) if key else None,
                         len(payload),
                         hashlib.sha256(payload).hexdigest(),
@@ -212,9 +218,12 @@ def mark_revisits(records: DataFrame, plain: DataFrame | None = None, min_bytes:
     )
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """WARC 1.1 archives of marked records; a revisit keeps its HTTP headers only."""
-    per_file = _per_file(records, F.octet_length("block"))
+def write_warc(records: DataFrame, path: str, per_file: int | None = None) -> None:
+    """WARC 1.1 archives of marked records; a revisit keeps its HTTP headers only.
+
+    ``per_file`` is the most records in a file; where it isn't known, records are made once more for their mean size.
+    """
+    per_file = per_file or _per_file(records, F.octet_length("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +253,7 @@ def write_warc(records: DataFrame, path: str) -> None:
                 out.append("".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in head.items() if v is not None), "\r\n"]).encode() + block)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    _write_blocks(records.mapInArrow(run, "record binary"), path, "\r\n\r\n", per_file)
+    _write_blocks(text_batches(records).mapInArrow(run, "record binary"), path, "\r\n\r\n", per_file)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -201,22 +201,43 @@ def test_greedy_tiles():
     assert decontaminate.greedy_tiles(item, item[::-1].copy()) == []
     assert decontaminate.greedy_tiles(item, np.concatenate([item[:30], item])) == [(0, 30, 40)]
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        a, b = rng.integers(0, 4, 60).astype(np.uint64), rng.integers(0, 4, 90).astype(np.uint64)
-        tiles = decontaminate.greedy_tiles(a, b)
-        used_a, used_b = np.zeros(60), np.zeros(90)
-        for i, j, n in tiles:
-            assert n >= 5 and (a[i : i + n] == b[j : j + n]).all()
-            used_a[i : i + n] += 1
-            used_b[j : j + n] += 1
-        assert used_a.max(initial=0) <= 1 and used_b.max(initial=0) <= 1
+    for _ in range(60):
+        a, b = rng.integers(0, rng.integers(1, 5), 40).astype(np.uint64), rng.integers(0, 4, 60).astype(np.uint64)
+        assert decontaminate.greedy_tiles(a, b, 3) == tiles_by_hand(a.tolist(), b.tolist(), 3)
+    same = np.full(200_000, 7, np.uint64)  # memory stays in proportion to the document
+    assert decontaminate.greedy_tiles(same[:200], same) == [(0, 0, 200)]
+
+
+def tiles_by_hand(a, b, least):
+    used_a, used_b, tiles = set(), set(), []
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        if best[0] < least:
+            return tiles
+        n, i, j = best[0], -best[1], -best[2]
+        used_a.update(range(i, i + n))
+        used_b.update(range(j, j + n))
+        tiles.append((i, j, n))
+
+
+def test_long_repetitive_text(spark):
+    bench = spark.createDataFrame([(1, "again " * 200), (2, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "again " * 300_000), (2, "x " * 300_000 + "one two three four five six seven eight nine ten")], "doc_id long, text string")
+    out = {r["doc_id"]: [(m["item_id"], [tuple(t) for t in m["tiles"]]) for m in r["matches"]] for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert out == {1: [(1, [(0, 0, 200)])], 2: [(2, [(0, 300_000, 10)])]}
 
 
 def test_decontamination(spark, awkward, empty):
     passage = "one two three four five six seven eight nine ten. eleven twelve thirteen fourteen fifteen sixteen."
     moved = "Eleven, twelve THIRTEEN fourteen fifteen sixteen and then one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(1, passage), (2, None), (None, passage), (3, "too short"), (4, "")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, f"before it {passage} after"), (2, moved), (3, "one two three four five six and no more"), (4, None), (5, "")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, f"before it {passage} after"), (2, moved), (2, moved), (3, "one two three four five six and no more"), (4, None), (5, "")], "doc_id long, text string")
     for blocks in (16 << 20, 40):
         out = {r["doc_id"]: [(m["item_id"], len(m["tiles"])) for m in r["matches"]] for r in decontaminate.find_leaks(docs, bench, block_bytes=blocks).collect()}
         assert out == {1: [(1, 1)], 2: [(1, 2)], 3: [], 4: [], 5: []}

@@ -21,6 +21,7 @@ PAGES = [
     (9, "http://g/", "other payload under the same id"),
     (None, "http://h/", "no id " * 30),
     (10, "http://i/", "\n\n\r\n" * 60),
+    (11, "filedesc://archive.arc", "<html> a page that looks like a description"),
 ]
 
 
