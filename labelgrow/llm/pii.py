@@ -1,12 +1,16 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base spans come from four patterns with their checks: leftmost, not overlapping per kind, in code points.
-They are the seeds. All other tokens that hold more than marks of punctuation are candidates. The one and
-the two words before a seed or candidate are its lexical patterns. Patterns and instances (seeds by
+They are seeds. So are keys, tokens of ``KEY``'s form (secrets: long runs that mix letters and digits);
+these are no base spans, and become spans only where their context is of high confidence. All other
+tokens that hold more than marks of punctuation are candidates. The lexical patterns of a seed or
+candidate are the word before it, the two words before it, the words before and after it, and, for
+tokens that aren't plain words, the forms of the word before and of itself (runs of letters as one
+``a``, each digit as ``9``), which also fit words never met. Patterns and instances (seeds by
 their kind and text, candidates by their text, all in lower case: copies count once) form a graph over all documents, on which scores go back and forth: a pattern's score for a kind is
 the sum of its distinct instances' scores over their number plus ``smoothing``; a candidate takes its
 best pattern's score if the pattern is of high confidence: at least ``confidence``, and ``support``
-distinct instances of that kind. After ``rounds`` rounds, candidates after patterns of high confidence
+distinct instances of that kind. After ``rounds`` rounds, or when no round finds more, candidates in patterns of high confidence
 become spans of their kind. Base spans stay.
 
 Only patterns whose instances' scores add up to ``support`` can be of high confidence, so each round
@@ -28,6 +32,10 @@ from pyspark.sql import functions as F
 from .shared import fresh, stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the method can find: the kinds of the base patterns, and keys.
+FOUND = (*KINDS, "key")
+#: A token that is a seed of a key: 24 or more of these, with a letter and a digit.
+KEY = r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9_+/=-]{24,}$"
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Fixed values. Possessive quantifiers and the assertions before the first character change no match:
 #: they keep long runs from being tried at each of their characters. Cards have 16 digits at least.
@@ -120,27 +128,34 @@ def _words(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda x: x["word"] != "")
 
 
+def _form(word: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(word, r"\p{L}+", "a"), "[0-9]", "9")
+
+
 def _uses(read: DataFrame, joined: bool = False) -> DataFrame:
-    """(doc, text_hash, place, kind or null, instance, pattern) of all tokens: with ``joined`` of seeds only, else of candidates."""
+    """(doc, text_hash, place, kind or null, instance, pattern) of all tokens: with ``joined`` of base seeds only, else of candidates and keys."""
     words = read.select("doc", "text_hash", _words(F.col("masked")).alias("w"), *([_words(F.col("joined")).alias("o")] if joined else []))
     none = F.lit(None).cast("struct<place:int,word:string>")
-    shifted = [F.col("w").alias("own"), F.concat(F.array(none), "w").alias("one"), F.concat(F.array(none, none), "w").alias("two")]
+    shifted = [F.col("w").alias("own"), F.concat(F.array(none), "w").alias("one"), F.concat(F.array(none, none), "w").alias("two"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next")]
     zipped = F.arrays_zip(*shifted, *([F.col("o").alias("text")] if joined else []))
     each = words.select("doc", "text_hash", F.explode(zipped).alias("x")).filter("x.own is not null")
     word = F.col("x.own.word")
-    one, two = (F.when(~F.col(f"x.{c}.word").rlike(f"[0-9{MARKS}]"), F.lower(f"x.{c}.word")) for c in ("one", "two"))
+    one, two, after = (F.when(~F.col(f"x.{c}.word").rlike(f"[0-9{MARKS}]"), F.lower(f"x.{c}.word")) for c in ("one", "two", "next"))
     if joined:
         each = each.filter(word.rlike(f"[{MARKS}]")).withColumn("mark", F.regexp_extract(word, f"[{MARKS}]", 0))
         kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.instr(F.lit(MARKS), F.col("mark")))
         run = F.regexp_extract(word, "|".join(f"{m}+" for m in MARKS), 0)
-        instance = F.lower(F.substring(F.col("x.text.word"), F.instr(word, F.col("mark")), F.length(run)))
-        instance = F.concat(kind, F.lit(":"), instance)
+        token = F.lower(F.substring(F.col("x.text.word"), F.instr(word, F.col("mark")), F.length(run)))
+        instance = F.concat(kind, F.lit(":"), token)
     else:
-        kind, instance = F.lit(None).cast("string"), F.lower(F.rtrim(F.ltrim(word, F.lit(EDGES)), F.lit(EDGES)))
         each = each.filter(~word.rlike(f"[{MARKS}]") & word.rlike(r"[\p{L}\p{N}]"))
-    lefts = F.array_compact(F.array(one, F.concat(two, F.lit(" "), one)))
-    made = each.select("doc", "text_hash", F.col("x.own.place").alias("place"), kind.alias("kind"), instance.alias("instance"), F.explode(lefts).alias("pattern"))
-    return made
+        token = instance = F.lower(F.rtrim(F.ltrim(word, F.lit(EDGES)), F.lit(EDGES)))
+        kind = F.when(instance.rlike(KEY), F.lit("key"))
+    forms = F.when(~token.rlike(r"^\p{L}+$"), F.concat(F.lit("form "), _form(one), F.lit(" | "), _form(token)))
+    patterns = F.array_compact(
+        F.array(F.concat(one, F.lit(" |")), F.concat(two, F.lit(" "), one, F.lit(" |")), F.concat(one, F.lit(" | "), after), forms)
+    )
+    return each.select("doc", "text_hash", F.col("x.own.place").alias("place"), kind.alias("kind"), instance.alias("instance"), F.explode(patterns).alias("pattern"))
 
 
 def _few(table: DataFrame) -> DataFrame:
@@ -150,7 +165,7 @@ def _few(table: DataFrame) -> DataFrame:
 
 def _high(confidence: float, support: int) -> Column:
     """The kinds (score, kind) of which a pattern is of high confidence."""
-    each = F.array(*[F.struct((F.col(f"sum_{k}") / F.col("n")).alias("score"), F.lit(k).alias("kind"), F.col(f"sum_{k}").alias("weight")) for k in KINDS])
+    each = F.array(*[F.struct((F.col(f"sum_{k}") / F.col("n")).alias("score"), F.lit(k).alias("kind"), F.col(f"sum_{k}").alias("weight")) for k in FOUND])
     return F.filter(each, lambda x: (x["score"] >= confidence) & (x["weight"] >= support))
 
 
@@ -158,7 +173,7 @@ def find_personal_data(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rounds: int = 2,
+    rounds: int = 4,
     confidence: float = 0.8,
     support: int = 5,
     smoothing: float = 1.0,
@@ -175,14 +190,14 @@ def find_personal_data(
     spans = [F.col(k) for k in KINDS]
     read = read.withColumn("masked", _masked(F.col("text"), spans)).withColumn("joined", _masked(F.col("text"), spans, marks=False))
     read = stored(read.drop("text"), "personal")
-    seeds = _uses(read.filter("joined is not null"), joined=True)
+    seeds = _uses(read.filter("joined is not null"), joined=True).union(_uses(read).filter("kind is not null"))
     seeds = stored(seeds.groupBy("pattern", "instance").agg(F.first("kind").alias("kind")), "seeds")
     own = lambda k: F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)
     scored = seeds.select("pattern", "kind", F.lit(1.0).alias("score"))
-    after = None
+    after, met = None, -1
     for step in range(rounds):
-        sums = scored.groupBy("pattern").agg(*[F.sum(own(k)).alias(f"sum_{k}") for k in KINDS])
-        sums = stored(sums.filter(F.greatest(*[F.col(f"sum_{k}") for k in KINDS]) >= support), "strong")
+        sums = scored.groupBy("pattern").agg(*[F.sum(own(k)).alias(f"sum_{k}") for k in FOUND])
+        sums = stored(sums.filter(F.greatest(*[F.col(f"sum_{k}") for k in FOUND]) >= support), "strong")
         links = _uses(read).join(_few(sums.select("pattern")), "pattern").select("pattern", "instance").union(seeds.select("pattern", "instance").join(_few(sums.select("pattern")), "pattern"))
         n = links.distinct().groupBy("pattern").agg((F.count("*") + smoothing).alias("n"))
         high = sums.join(n, "pattern").withColumn("high", _high(confidence, support)).filter(F.size("high") > 0)
@@ -190,9 +205,10 @@ def find_personal_data(
         after = stored(_uses(read).join(_few(patterns), "pattern"), "after")
         if step + 1 < rounds:
             reached = stored(after.groupBy("instance").agg(F.max("best").alias("best")), "instances")
-            if reached.isEmpty():
+            before, met = met, reached.count()
+            if met in (0, before):
                 break
-            again = _uses(read).join(_few(reached), "instance").groupBy("pattern", "instance").agg(F.first("best").alias("best"))
+            again = _uses(read).filter("kind is null").join(_few(reached), "instance").groupBy("pattern", "instance").agg(F.first("best").alias("best"))
             scored = seeds.select("pattern", "kind", F.lit(1.0).alias("score")).union(again.select("pattern", "best.kind", "best.score"))
     new = after.groupBy("doc", "text_hash", "place").agg(F.max("best").alias("best"))
     known = read.select("doc", "text_hash", F.translate("masked", BLANKS, " " * len(BLANKS)).alias("flat")).distinct()
@@ -203,7 +219,7 @@ def find_personal_data(
     cut = F.ltrim(F.col("token"), F.lit(EDGES))
     new = new.withColumn("start", (F.col("begin") + F.length("token") - F.length(cut)).cast("int"))
     new = new.withColumn("end", (F.col("start") + F.length(F.rtrim(cut, F.lit(EDGES)))).cast("int"))
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("best.kind"))
+    rank = F.array_position(F.array(*[F.lit(k) for k in FOUND]), F.col("best.kind"))
     new = new.groupBy("doc", "text_hash").agg(F.collect_set(F.struct(rank.alias("rank"), "start", "end", F.col("best.kind").alias("kind"))).alias("new"))
     new = new.withColumnsRenamed({"doc": "new_doc", "text_hash": "new_hash"})
     joined = read.join(new, F.col("doc").eqNullSafe(F.col("new_doc")) & F.col("text_hash").eqNullSafe(F.col("new_hash")), "left")
@@ -216,6 +232,6 @@ def find_personal_data(
 def span_text(spans: Column) -> Column:
     """Spans as kind:start:end, by kind as listed, then start, joined by commas."""
     ordered = F.array_sort(
-        F.transform(spans, lambda x: F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"]), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+        F.transform(spans, lambda x: F.struct(F.array_position(F.array(*[F.lit(k) for k in FOUND]), x["kind"]), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     )
     return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")

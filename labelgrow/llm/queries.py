@@ -89,6 +89,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
         span_text(F.concat("base", "found")).alias("spans"),
+        F.size(F.concat("base", "found")).cast("long").alias("n_spans"),
     )
 
 

@@ -359,3 +359,34 @@ def test_personal_data_counts_copies_once(spark):
     text = dict(rows)
     found = {r["doc_id"]: [(s["kind"], text[r["doc_id"]][s["start"] : s["end"]]) for s in r["found"]] for r in pii.find_personal_data(df).collect() if r["found"]}
     assert found == {300: [("email", "jdoe")]}
+
+
+def test_personal_data_finds_planted_identifiers(spark):
+    """Half of the rows have base spans in some contexts, the other half has unseen forms in the same ones."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, planted = [], {}
+    for i in range(400):
+        fill = [word() for _ in range(30)]
+        seed = {"Phone:": f"+1 555 {rng.randrange(1000, 9999)} {rng.randrange(10, 99)}", "Mail:": f"{word()}{i}@host{i}.org", "token = ": f'"{rng.getrandbits(160):040x}"'}
+        new = {"Phone:": f"0{rng.randrange(100, 999)}/{rng.randrange(10**6, 10**7)}", "Mail:": f"{word()}{i}(at)host", "token = ": f'"{word()}"'}
+        held = i % 8 == 7
+        label = rng.choice(list(seed))
+        at = rng.randrange(5, 25)
+        rows.append((None if i % 50 == 0 else i, " ".join([*fill[:at], (label.lower() if i % 3 else label) + ("" if label.endswith(" ") else " ") + (new if held else seed)[label], *fill[at:], "page 12"])))
+        if held:
+            planted[rows[-1][1]] = new[label].strip('"')
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pii.find_personal_data(df).join(df, "doc_id").collect()
+    found = {(r["text"], r["text"][x["start"] : x["end"]]) for r in out for x in r["found"] if x["kind"] != "key" or not re.fullmatch("[0-9a-f]{40}", r["text"][x["start"] : x["end"]])}
+    right = found & set(planted.items())
+    assert len(right) / len(planted) >= 0.9 and len(right) / len(found) >= 0.9
+    keys = {r["doc_id"] for r in out for x in r["found"] if re.fullmatch("[0-9a-f]{40}", r["text"][x["start"] : x["end"]])}
+    assert len(keys) >= 0.9 * sum("token" in t.lower() and i % 8 != 7 and i is not None for i, t in rows if i is not None)
+
+
+def test_personal_data_of_rows_without_id(spark):
+    texts = [f"blah tel: +1 555 {1000 + i} 22 x" for i in range(12)] + ["blah tel: 0171-555.12 and on"]
+    for ids in (range(13), [None] * 13):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        assert sum(len(r["found"]) for r in pii.find_personal_data(df).collect()) == 1
