@@ -24,6 +24,7 @@ patterns. Other columns ride along.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +56,10 @@ JOINT = "\ue004"
 BLANKS = "\t\n\x0b\x0c\r"
 #: Rows of a table of patterns or instances that is broadcast.
 MOST_BROADCAST = 100_000
+#: Words before tokens that are looked for in whole texts first, so that other texts aren't cut.
+FEW_WORDS = 200
+#: What a text must hold for a token to be a key.
+KEY_RUN = "[A-Za-z0-9_+/=-]{24}"
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -132,30 +137,53 @@ def _form(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(word, r"\p{L}+", "a"), "[0-9]", "9")
 
 
-def _uses(read: DataFrame, joined: bool = False) -> DataFrame:
-    """(doc, text_hash, place, kind or null, instance, pattern) of all tokens: with ``joined`` of base seeds only, else of candidates and keys."""
+def _holds_word(text: Column, words: list[str]) -> Column:
+    """Whether a text could hold one of the words, which are in lower case."""
+    return F.lower(text).rlike("(?s)" + "|".join(re.escape(w) for w in sorted(words))) if words else F.lit(False)
+
+
+def _uses(read: DataFrame, joined: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """(doc, text_hash, place, kind or null, instance, pattern) of all tokens: with ``joined`` of base seeds only, else of candidates and keys.
+
+    ``only`` has the patterns that are wanted, few: tokens after other words aren't taken further.
+    """
+    forms_too = only is not None and not only.filter("one is null").isEmpty()
+    if only is not None:
+        ones = only.filter("one is not null").select("one").distinct()
+        few = [r["one"] for r in ones.limit(FEW_WORDS + 1).collect()]
+        if len(few) <= FEW_WORDS:
+            read = read.filter(_holds_word(F.col("masked"), few) | (F.col("masked").rlike("[0-9@]") if forms_too else F.lit(False)))
     words = read.select("doc", "text_hash", _words(F.col("masked")).alias("w"), *([_words(F.col("joined")).alias("o")] if joined else []))
     none = F.lit(None).cast("struct<place:int,word:string>")
     shifted = [F.col("w").alias("own"), F.concat(F.array(none), "w").alias("one"), F.concat(F.array(none, none), "w").alias("two"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next")]
     zipped = F.arrays_zip(*shifted, *([F.col("o").alias("text")] if joined else []))
     each = words.select("doc", "text_hash", F.explode(zipped).alias("x")).filter("x.own is not null")
-    word = F.col("x.own.word")
-    one, two, after = (F.when(~F.col(f"x.{c}.word").rlike(f"[0-9{MARKS}]"), F.lower(f"x.{c}.word")) for c in ("one", "two", "next"))
+    names = {"place": "own.place", "word": "own.word", "one": "one.word", "two": "two.word", "next": "next.word"} | ({"text": "text.word"} if joined else {})
+    each = each.select("doc", "text_hash", *[F.col(f"x.{path}").alias(name) for name, path in names.items()])
     if joined:
-        each = each.filter(word.rlike(f"[{MARKS}]")).withColumn("mark", F.regexp_extract(word, f"[{MARKS}]", 0))
+        each = each.filter(F.col("word").rlike(f"[{MARKS}]"))
+    each = each.withColumn("one", F.when(~F.col("one").rlike(f"[0-9{MARKS}]"), F.lower("one")))
+    if only is not None:
+        formed = F.col("word").rlike("[0-9@]") if forms_too else F.lit(False)
+        each = each.join(F.broadcast(ones.withColumn("known", F.lit(True))), "one", "left").filter(F.col("known") | formed)
+    two, after = (F.when(~F.col(c).rlike(f"[0-9{MARKS}]"), F.lower(c)) for c in ("two", "next"))
+    if joined:
+        each = each.withColumn("mark", F.regexp_extract("word", f"[{MARKS}]", 0))
         kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.instr(F.lit(MARKS), F.col("mark")))
-        run = F.regexp_extract(word, "|".join(f"{m}+" for m in MARKS), 0)
-        token = F.lower(F.substring(F.col("x.text.word"), F.instr(word, F.col("mark")), F.length(run)))
-        instance = F.concat(kind, F.lit(":"), token)
+        run = F.regexp_extract("word", "|".join(f"{m}+" for m in MARKS), 0)
+        each = each.withColumn("token", F.lower(F.substring(F.col("text"), F.instr("word", F.col("mark")), F.length(run)))).withColumn("kind", kind)
+        instance = F.concat("kind", F.lit(":"), "token")
     else:
-        each = each.filter(~word.rlike(f"[{MARKS}]") & word.rlike(r"[\p{L}\p{N}]"))
-        token = instance = F.lower(F.rtrim(F.ltrim(word, F.lit(EDGES)), F.lit(EDGES)))
-        kind = F.when(instance.rlike(KEY), F.lit("key"))
-    forms = F.when(~token.rlike(r"^\p{L}+$"), F.concat(F.lit("form "), _form(one), F.lit(" | "), _form(token)))
-    patterns = F.array_compact(
-        F.array(F.concat(one, F.lit(" |")), F.concat(two, F.lit(" "), one, F.lit(" |")), F.concat(one, F.lit(" | "), after), forms)
-    )
-    return each.select("doc", "text_hash", F.col("x.own.place").alias("place"), kind.alias("kind"), instance.alias("instance"), F.explode(patterns).alias("pattern"))
+        each = each.filter(~F.col("word").rlike(f"[{MARKS}]") & F.col("word").rlike(r"[\p{L}\p{N}]"))
+        each = each.withColumn("token", F.lower(F.rtrim(F.ltrim("word", F.lit(EDGES)), F.lit(EDGES))))
+        each = each.withColumn("kind", F.when((F.length("token") >= 24) & F.col("token").rlike(KEY), F.lit("key")))
+        instance = F.col("token")
+    each = each.withColumns({"two": two, "next": after})
+    forms = F.when(F.col("token").rlike("[0-9@]"), F.concat(F.lit("form "), _form(F.col("one")), F.lit(" | "), _form(F.col("token"))))
+    patterns = [F.concat("one", F.lit(" |")), F.concat("two", F.lit(" "), "one", F.lit(" |")), F.concat("one", F.lit(" | "), "next"), forms]
+    made = each.select("doc", "text_hash", "place", "kind", instance.alias("instance"), F.col("one").alias("before"), F.explode(F.array(*patterns)).alias("pattern")).filter("pattern is not null")
+    made = made.withColumn("one", F.when(~F.startswith("pattern", F.lit("form ")), F.col("before"))).drop("before")
+    return made if only is None else made.join(F.broadcast(only.select("pattern")), "pattern").select(*made.columns)
 
 
 def _few(table: DataFrame) -> DataFrame:
@@ -163,6 +191,13 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
 
 
+def _in_patterns(read: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The uses of candidates in the patterns of a stored table (pattern, one)."""
+    if patterns.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return _uses(read, only=patterns)
+    return _uses(read).join(patterns.select("pattern"), "pattern")
+
+
 def _high(confidence: float, support: int) -> Column:
     """The kinds (score, kind) of which a pattern is of high confidence."""
     each = F.array(*[F.struct((F.col(f"sum_{k}") / F.col("n")).alias("score"), F.lit(k).alias("kind"), F.col(f"sum_{k}").alias("weight")) for k in FOUND])
@@ -190,26 +225,32 @@ def find_personal_data(
     spans = [F.col(k) for k in KINDS]
     read = read.withColumn("masked", _masked(F.col("text"), spans)).withColumn("joined", _masked(F.col("text"), spans, marks=False))
     read = stored(read.drop("text"), "personal")
-    seeds = _uses(read.filter("joined is not null"), joined=True).union(_uses(read).filter("kind is not null"))
-    seeds = stored(seeds.groupBy("pattern", "instance").agg(F.first("kind").alias("kind")), "seeds")
+    seeds = _uses(read.filter("joined is not null"), joined=True).union(_uses(read.filter(F.col("masked").rlike(KEY_RUN))).filter("kind is not null"))
+    seeds = stored(seeds.groupBy("pattern", "one", "instance").agg(F.first("kind").alias("kind")), "seeds")
     own = lambda k: F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)
-    scored = seeds.select("pattern", "kind", F.lit(1.0).alias("score"))
+    first = scored = seeds.select("pattern", "one", "kind", F.lit(1.0).alias("score"))
     after, met = None, -1
+    best_sum = F.greatest(*[F.col(f"sum_{k}") for k in FOUND])
     for step in range(rounds):
-        sums = scored.groupBy("pattern").agg(*[F.sum(own(k)).alias(f"sum_{k}") for k in FOUND])
-        sums = stored(sums.filter(F.greatest(*[F.col(f"sum_{k}") for k in FOUND]) >= support), "strong")
-        links = _uses(read).join(_few(sums.select("pattern")), "pattern").select("pattern", "instance").union(seeds.select("pattern", "instance").join(_few(sums.select("pattern")), "pattern"))
+        sums = scored.groupBy("pattern", "one").agg(*[F.sum(own(k)).alias(f"sum_{k}") for k in FOUND])
+        sums = stored(sums.filter(best_sum >= support), "strong")
+        # a sketch's count, less four standard errors, spares the exact count of what can't be of high confidence
+        about = _in_patterns(read, sums).groupBy("pattern").agg(F.approx_count_distinct("instance", 0.05).alias("about"))
+        likely = sums.join(about, "pattern", "left").filter(best_sum >= confidence * 0.8 * F.coalesce("about", F.lit(0)))
+        likely = stored(likely.select(*sums.columns), "likely")
+        uses = stored(_in_patterns(read, likely), "uses")
+        links = uses.select("pattern", "instance").union(seeds.join(_few(likely.select("pattern")), "pattern").select("pattern", "instance"))
         n = links.distinct().groupBy("pattern").agg((F.count("*") + smoothing).alias("n"))
-        high = sums.join(n, "pattern").withColumn("high", _high(confidence, support)).filter(F.size("high") > 0)
+        high = likely.join(n, "pattern").withColumn("high", _high(confidence, support)).filter(F.size("high") > 0)
         patterns = stored(high.select("pattern", F.array_max("high").alias("best")), "patterns")
-        after = stored(_uses(read).join(_few(patterns), "pattern"), "after")
+        after = stored(uses.join(_few(patterns), "pattern"), "after")
         if step + 1 < rounds:
-            reached = stored(after.groupBy("instance").agg(F.max("best").alias("best")), "instances")
+            reached = stored(after.filter("kind is null").groupBy("instance").agg(F.max("best").alias("best")), "instances")
             before, met = met, reached.count()
             if met in (0, before):
                 break
-            again = _uses(read).filter("kind is null").join(_few(reached), "instance").groupBy("pattern", "instance").agg(F.first("best").alias("best"))
-            scored = seeds.select("pattern", "kind", F.lit(1.0).alias("score")).union(again.select("pattern", "best.kind", "best.score"))
+            again = _uses(read).filter("kind is null").join(_few(reached), "instance").groupBy("pattern", "one", "instance").agg(F.first("best").alias("best"))
+            scored = first.union(again.select("pattern", "one", "best.kind", "best.score"))
     new = after.groupBy("doc", "text_hash", "place").agg(F.max("best").alias("best"))
     known = read.select("doc", "text_hash", F.translate("masked", BLANKS, " " * len(BLANKS)).alias("flat")).distinct()
     same = F.col("doc").eqNullSafe(F.col("known_doc")) & (F.col("text_hash") == F.col("known_hash"))
