@@ -3,19 +3,18 @@ r"""Personal data by bootstrapped contextual extraction, in DataFrame functions
 Base spans come from four patterns with their checks: leftmost, not overlapping per kind, in code points.
 They are seeds. So are keys, tokens of ``KEY``'s form (secrets: long runs that mix letters and digits);
 these are no base spans, and become spans only where their context is of high confidence. All other
-tokens that hold more than marks of punctuation are candidates. The lexical patterns of a seed or
-candidate are the word before it, the two words before it, the words before and after it, and, for
-tokens that aren't plain words, the forms of the word before and of itself (runs of letters as one
-``a``, each digit as ``9``), which also fit words never met. Patterns and instances (seeds by
+tokens that hold more than marks of punctuation are candidates. The word and the two words before a seed
+or candidate, and the words on both sides of it, are its lexical patterns. Patterns and instances (seeds by
 their kind and text, candidates by their text, all in lower case: copies count once) form a graph over all documents, on which scores go back and forth: a pattern's score for a kind is
 the sum of its distinct instances' scores over their number plus ``smoothing``; a candidate takes its
 best pattern's score if the pattern is of high confidence: at least ``confidence``, and ``support``
 distinct instances of that kind. After ``rounds`` rounds, or when no round finds more, candidates in patterns of high confidence
 become spans of their kind. Base spans stay.
 
-Only patterns whose instances' scores add up to ``support`` can be of high confidence, so each round
-first sums the scores of its seeds and candidates, then counts all tokens after the few patterns that
-are left. Texts stay in place; tables of patterns are broadcast up to a bound and else joined by Spark.
+Only patterns whose instances' scores add up to ``support`` can be of high confidence. What a part of the
+texts holds bounds their numbers of instances from below: patterns that this rules out already go.
+Texts that hold one of the words before the rest's instances are then cut into tokens and counted. Texts
+stay in place; tables of patterns are broadcast up to a bound and else joined by Spark.
 
 Defined cases: a null text is empty and has no spans. Rows that share an id are told apart by their text;
 equal rows have equal spans. A candidate that overlaps a base span adds nothing. An empty table has no
@@ -35,8 +34,8 @@ from .shared import fresh, stored
 KINDS = ("email", "ip", "card", "phone")
 #: What the method can find: the kinds of the base patterns, and keys.
 FOUND = (*KINDS, "key")
-#: A token that is a seed of a key: 24 or more of these, with a letter and a digit.
-KEY = r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9_+/=-]{24,}$"
+#: A token that is a seed of a key, 24 or more of these with a letter and a digit, and what its text must hold.
+KEY, KEY_RUN = r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9_+/=-]{24,}$", "[A-Za-z0-9_+/=-]{24}"
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Fixed values. Possessive quantifiers and the assertions before the first character change no match:
 #: they keep long runs from being tried at each of their characters. Cards have 16 digits at least.
@@ -56,10 +55,10 @@ JOINT = "\ue004"
 BLANKS = "\t\n\x0b\x0c\r"
 #: Rows of a table of patterns or instances that is broadcast.
 MOST_BROADCAST = 100_000
-#: Words before tokens that are looked for in whole texts first, so that other texts aren't cut.
+#: Words that are looked for in whole texts first, so that other texts aren't cut into tokens.
 FEW_WORDS = 200
-#: What a text must hold for a token to be a key.
-KEY_RUN = "[A-Za-z0-9_+/=-]{24}"
+#: Of so many texts one is counted first.
+SHARE = 64
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -133,57 +132,35 @@ def _words(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda x: x["word"] != "")
 
 
-def _form(word: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(word, r"\p{L}+", "a"), "[0-9]", "9")
+def _holding(read: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The texts that could hold a word of a stored table's column, where these are few; else all."""
+    few = [r[0] for r in wanted.select(column).distinct().limit(FEW_WORDS + 1).collect()]
+    if len(few) > FEW_WORDS:
+        return read
+    return read.filter(F.lower("masked").rlike("|".join(re.escape(w) for w in sorted(few))) if few else F.lit(False))
 
 
-def _holds_word(text: Column, words: list[str]) -> Column:
-    """Whether a text could hold one of the words, which are in lower case."""
-    return F.lower(text).rlike("(?s)" + "|".join(re.escape(w) for w in sorted(words))) if words else F.lit(False)
-
-
-def _uses(read: DataFrame, joined: bool = False, only: DataFrame | None = None) -> DataFrame:
-    """(doc, text_hash, place, kind or null, instance, pattern) of all tokens: with ``joined`` of base seeds only, else of candidates and keys.
-
-    ``only`` has the patterns that are wanted, few: tokens after other words aren't taken further.
-    """
-    forms_too = only is not None and not only.filter("one is null").isEmpty()
-    if only is not None:
-        ones = only.filter("one is not null").select("one").distinct()
-        few = [r["one"] for r in ones.limit(FEW_WORDS + 1).collect()]
-        if len(few) <= FEW_WORDS:
-            read = read.filter(_holds_word(F.col("masked"), few) | (F.col("masked").rlike("[0-9@]") if forms_too else F.lit(False)))
+def _uses(read: DataFrame, joined: bool = False) -> DataFrame:
+    """(doc, text_hash, place, kind or null, instance, one, pattern) of all tokens: with ``joined`` of base seeds only, else of candidates and keys."""
     words = read.select("doc", "text_hash", _words(F.col("masked")).alias("w"), *([_words(F.col("joined")).alias("o")] if joined else []))
     none = F.lit(None).cast("struct<place:int,word:string>")
     shifted = [F.col("w").alias("own"), F.concat(F.array(none), "w").alias("one"), F.concat(F.array(none, none), "w").alias("two"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next")]
     zipped = F.arrays_zip(*shifted, *([F.col("o").alias("text")] if joined else []))
     each = words.select("doc", "text_hash", F.explode(zipped).alias("x")).filter("x.own is not null")
-    names = {"place": "own.place", "word": "own.word", "one": "one.word", "two": "two.word", "next": "next.word"} | ({"text": "text.word"} if joined else {})
-    each = each.select("doc", "text_hash", *[F.col(f"x.{path}").alias(name) for name, path in names.items()])
-    if joined:
-        each = each.filter(F.col("word").rlike(f"[{MARKS}]"))
-    each = each.withColumn("one", F.when(~F.col("one").rlike(f"[0-9{MARKS}]"), F.lower("one")))
-    if only is not None:
-        formed = F.col("word").rlike("[0-9@]") if forms_too else F.lit(False)
-        each = each.join(F.broadcast(ones.withColumn("known", F.lit(True))), "one", "left").filter(F.col("known") | formed)
-    two, after = (F.when(~F.col(c).rlike(f"[0-9{MARKS}]"), F.lower(c)) for c in ("two", "next"))
+    word = F.col("x.own.word")
+    one, two, after = (F.when(~F.col(f"x.{c}.word").rlike(f"[0-9{MARKS}]"), F.lower(f"x.{c}.word")) for c in ("one", "two", "next"))
     if joined:
-        each = each.withColumn("mark", F.regexp_extract("word", f"[{MARKS}]", 0))
+        each = each.filter(word.rlike(f"[{MARKS}]")).withColumn("mark", F.regexp_extract(word, f"[{MARKS}]", 0))
         kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.instr(F.lit(MARKS), F.col("mark")))
-        run = F.regexp_extract("word", "|".join(f"{m}+" for m in MARKS), 0)
-        each = each.withColumn("token", F.lower(F.substring(F.col("text"), F.instr("word", F.col("mark")), F.length(run)))).withColumn("kind", kind)
-        instance = F.concat("kind", F.lit(":"), "token")
+        run = F.regexp_extract(word, "|".join(f"{m}+" for m in MARKS), 0)
+        instance = F.lower(F.substring(F.col("x.text.word"), F.instr(word, F.col("mark")), F.length(run)))
+        instance = F.concat(kind, F.lit(":"), instance)
     else:
-        each = each.filter(~F.col("word").rlike(f"[{MARKS}]") & F.col("word").rlike(r"[\p{L}\p{N}]"))
-        each = each.withColumn("token", F.lower(F.rtrim(F.ltrim("word", F.lit(EDGES)), F.lit(EDGES))))
-        each = each.withColumn("kind", F.when((F.length("token") >= 24) & F.col("token").rlike(KEY), F.lit("key")))
-        instance = F.col("token")
-    each = each.withColumns({"two": two, "next": after})
-    forms = F.when(F.col("token").rlike("[0-9@]"), F.concat(F.lit("form "), _form(F.col("one")), F.lit(" | "), _form(F.col("token"))))
-    patterns = [F.concat("one", F.lit(" |")), F.concat("two", F.lit(" "), "one", F.lit(" |")), F.concat("one", F.lit(" | "), "next"), forms]
-    made = each.select("doc", "text_hash", "place", "kind", instance.alias("instance"), F.col("one").alias("before"), F.explode(F.array(*patterns)).alias("pattern")).filter("pattern is not null")
-    made = made.withColumn("one", F.when(~F.startswith("pattern", F.lit("form ")), F.col("before"))).drop("before")
-    return made if only is None else made.join(F.broadcast(only.select("pattern")), "pattern").select(*made.columns)
+        instance = F.lower(F.rtrim(F.ltrim(word, F.lit(EDGES)), F.lit(EDGES)))
+        kind = F.when((F.length(word) >= 24) & instance.rlike(KEY), F.lit("key"))
+        each = each.filter(~word.rlike(f"[{MARKS}]") & word.rlike(r"[\p{L}\p{N}]"))
+    patterns = F.array_compact(F.array(one, F.concat(two, F.lit(" "), one), F.concat(one, F.lit(" _ "), after)))
+    return each.select("doc", "text_hash", F.col("x.own.place").alias("place"), kind.alias("kind"), instance.alias("instance"), one.alias("one"), F.explode(patterns).alias("pattern"))
 
 
 def _few(table: DataFrame) -> DataFrame:
@@ -191,13 +168,6 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
 
 
-def _in_patterns(read: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The uses of candidates in the patterns of a stored table (pattern, one)."""
-    if patterns.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        return _uses(read, only=patterns)
-    return _uses(read).join(patterns.select("pattern"), "pattern")
-
-
 def _high(confidence: float, support: int) -> Column:
     """The kinds (score, kind) of which a pattern is of high confidence."""
     each = F.array(*[F.struct((F.col(f"sum_{k}") / F.col("n")).alias("score"), F.lit(k).alias("kind"), F.col(f"sum_{k}").alias("weight")) for k in FOUND])
@@ -228,17 +198,17 @@ def find_personal_data(
     seeds = _uses(read.filter("joined is not null"), joined=True).union(_uses(read.filter(F.col("masked").rlike(KEY_RUN))).filter("kind is not null"))
     seeds = stored(seeds.groupBy("pattern", "one", "instance").agg(F.first("kind").alias("kind")), "seeds")
     own = lambda k: F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)
+    best_sum = F.greatest(*[F.col(f"sum_{k}") for k in FOUND])
     first = scored = seeds.select("pattern", "one", "kind", F.lit(1.0).alias("score"))
     after, met = None, -1
-    best_sum = F.greatest(*[F.col(f"sum_{k}") for k in FOUND])
     for step in range(rounds):
         sums = scored.groupBy("pattern", "one").agg(*[F.sum(own(k)).alias(f"sum_{k}") for k in FOUND])
         sums = stored(sums.filter(best_sum >= support), "strong")
-        # a sketch's count, less four standard errors, spares the exact count of what can't be of high confidence
-        about = _in_patterns(read, sums).groupBy("pattern").agg(F.approx_count_distinct("instance", 0.05).alias("about"))
-        likely = sums.join(about, "pattern", "left").filter(best_sum >= confidence * 0.8 * F.coalesce("about", F.lit(0)))
+        part = _uses(_holding(read.filter(F.pmod("text_hash", F.lit(SHARE)) == 0), sums, "one")).join(_few(sums.select("pattern")), "pattern")
+        least = part.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count("*").alias("least"))
+        likely = sums.join(least, "pattern", "left").filter(best_sum >= confidence * (F.coalesce("least", F.lit(0)) + smoothing))
         likely = stored(likely.select(*sums.columns), "likely")
-        uses = stored(_in_patterns(read, likely), "uses")
+        uses = stored(_uses(_holding(read, likely, "one")).join(_few(likely.select("pattern")), "pattern").drop("one"), "uses")
         links = uses.select("pattern", "instance").union(seeds.join(_few(likely.select("pattern")), "pattern").select("pattern", "instance"))
         n = links.distinct().groupBy("pattern").agg((F.count("*") + smoothing).alias("n"))
         high = likely.join(n, "pattern").withColumn("high", _high(confidence, support)).filter(F.size("high") > 0)
@@ -249,7 +219,8 @@ def find_personal_data(
             before, met = met, reached.count()
             if met in (0, before):
                 break
-            again = _uses(read).filter("kind is null").join(_few(reached), "instance").groupBy("pattern", "one", "instance").agg(F.first("best").alias("best"))
+            again = _uses(_holding(read, reached, "instance")).filter("kind is null").join(_few(reached), "instance")
+            again = again.groupBy("pattern", "one", "instance").agg(F.first("best").alias("best"))
             scored = first.union(again.select("pattern", "one", "best.kind", "best.score"))
     new = after.groupBy("doc", "text_hash", "place").agg(F.max("best").alias("best"))
     known = read.select("doc", "text_hash", F.translate("masked", BLANKS, " " * len(BLANKS)).alias("flat")).distinct()
