@@ -74,21 +74,21 @@ def generalised(shapes: DataFrame, z: float = 2.0, many: int = 16, rare: float =
     parts = F.split("shape", "/", -1)
     parts = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(F.array_join(F.slice(parts, depth, F.size(parts)), "/")))).otherwise(parts)
     now = stored(shapes.withColumn("parts", parts).withColumn("template", F.lit("")), "tree")
-    done = None
+    total, done = now.count(), None
     for level in range(now.agg(F.max(F.size("parts"))).first()[0] or 0):
         ended = now.filter(F.size("parts") <= level)
         done = ended if done is None else done.unionByName(ended)
         here = now.filter(F.size("parts") > level).withColumn("child", F.col("parts")[level])
         children = stored(here.groupBy("tree", "template", "child").agg(*_sums(F.count("*").alias("n_rows"))), "children")
         parents = children.groupBy("tree", "template").agg(F.count("*").alias("n_children"), *[F.sum(c).alias(f"all_{c}") for c in SUMS])
-        both = split_join(children, stored(parents.withColumn("rows", F.col("n_children")), "parents"), ["tree", "template"], "rows", children.count())
+        both = split_join(children, parents.withColumn("rows", F.col("n_children")), ["tree", "template"], "rows", total)
         share = F.try_divide("all_blocked", "all_labelled")
         error = F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1)) + F.lit(0.25) / F.greatest("labelled", F.lit(1)) / F.lit(4))
         similar = (F.col("labelled") == 0) | (F.abs(F.try_divide("blocked", "labelled") - share) <= z * error)
         variable = (F.col("n_children") > many) & (F.col("all_n") < rare * F.col("n_children")) & (F.col("n") < rare)
         branch = F.when(variable | (similar & (F.col("n_children") > 1)), F.lit("*")).otherwise(F.col("child"))
         branches = stored(both.select("tree", "template", "child", "n_rows", branch.alias("branch")), "branches")
-        named = split_join(here, branches, ["tree", "template", "child"], "n_rows", here.count())
+        named = split_join(here, branches, ["tree", "template", "child"], "n_rows", total)
         grown = F.col("branch") if level == 0 else F.concat("template", F.lit("/"), "branch")
         now = stored(named.withColumn("template", grown).select(*now.columns), "tree")
     return (now if done is None else done.unionByName(now)).select("tree", "shape", *SUMS, "template")
@@ -99,15 +99,17 @@ def template_purity(urls: DataFrame, weight: float = 10.0, prior: float = 0.5, *
     counts = [F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).cast("long").alias("blocked")]
     shapes = stored(urls.groupBy("host", "shape").agg(*counts), "shapes")
     total = shapes.count()
-    own = stored(generalised(shapes.withColumnRenamed("host", "tree"), **tree).withColumnRenamed("tree", "host"), "own")
-    pooled = stored(generalised(shapes.groupBy(F.lit("").alias("tree"), "shape").agg(*_sums()), **tree).select("shape", *SUMS, "template"), "pooled")
+    every = shapes.withColumn("tree", F.concat(F.lit("@"), "host")).unionByName(shapes.withColumns({"tree": F.lit(""), "host": F.lit("")}))
+    trees = stored(generalised(every.groupBy("tree", "shape").agg(*_sums()), **tree), "trees")  # that of all hosts has no name
+    own = trees.filter("tree <> ''").withColumn("host", F.substring("tree", 2, F.length("tree"))).drop("tree")
+    pooled = trees.filter("tree = ''").select("shape", *SUMS, "template")
     as_level = lambda rows, level, *by: rows.groupBy(*by).agg(
         F.count("*").alias("rows"), F.sum("labelled").alias(f"{level}_labelled"), F.sum("blocked").alias(f"{level}_blocked")
     )
     known = own.select("host", "shape", "n", "template")
-    known = split_join(known, stored(as_level(own, "template", "host", "template"), "sums"), ["host", "template"], "rows", total)
-    known = split_join(known, stored(as_level(own, "host", "host"), "sums"), "host", "rows", total)
-    others = split_join(pooled.select("shape", "template"), stored(as_level(pooled, "pooled", "template"), "sums"), "template", "rows", pooled.count()).drop("template")
+    known = split_join(known, as_level(own, "template", "host", "template"), ["host", "template"], "rows", total)
+    known = split_join(known, as_level(own, "host", "host"), "host", "rows", total)
+    others = split_join(pooled.select("shape", "template"), as_level(pooled, "pooled", "template"), "template", "rows", total).drop("template")
     others = others.join(shapes.groupBy("shape").agg(F.count("*").alias("rows")), "shape")
     known = split_join(known, stored(others, "others"), "shape", "rows", total)
     everything = pooled.agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
