@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .ranges import running_totals
 
 METRICS = ("accuracy", "precision", "recall", "specificity", "npv", "f1", "mcc", "roc_auc")
 
@@ -13,13 +14,12 @@ METRICS = ("accuracy", "precision", "recall", "specificity", "npv", "f1", "mcc",
 def roc_auc(predictions: DataFrame, by: list[str], y: str = "y", prob: str = "prob") -> DataFrame:
     """(by..., roc_auc) with ties at one half; null where a class is missing.
 
-    Rows are counted by distinct score first; only those counts pass the window.
+    Rows are counted by distinct score first; the counts are added up range by range.
     """
     counts = predictions.filter(F.col(y).isNotNull() & F.col(prob).isNotNull()).groupBy(*by, prob).agg(
         F.count_if(F.col(y) == 1).cast("double").alias("pos"), F.count_if(F.col(y) == 0).cast("double").alias("neg")
     )
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = counts.withColumn("won", F.col("pos") * (below + F.lit(0.5) * F.col("neg")))
+    won = running_totals(counts, by, prob, "neg").withColumn("won", F.col("pos") * (F.col("below") + F.lit(0.5) * F.col("neg")))
     return won.groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 

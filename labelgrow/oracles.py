@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import DICTIONARY, VOCABULARY, WIDTH
+from .functions.features import WIDTHS
+from .queries import DICTIONARY, ELEMENTS, GAPS, VOCABULARY, WIDTH
 
 MEASURED = """
 m as (
@@ -12,7 +13,7 @@ m as (
 k as (select * from m where std_user is not null and std_type is not null)"""
 
 _cells = [
-    *[f"case when vec_id % 11 <> {i}{' and vec_id % 17 <> 0' if i < 4 else ''} then embedding[{i + 1}]::double end" for i in range(6)],
+    *[f"case when true{f' and vec_id % 11 <> {i}' if i < 6 else ''}{' and vec_id % 17 <> 0' if i < GAPS else ''} then embedding[{i + 1}]::double end" for i in range(ELEMENTS)],
     "case when vec_id % 5 <> 0 then embedding[1]::double * 2 end",
     "-(embedding[2]::double)",
     "(embedding[3] > 0)::int::double",
@@ -154,6 +155,7 @@ def oracle_sql() -> dict[str, str]:
         from t"""
     keys = ", ".join(f"regexp_matches(text, '{p}')::int::varchar" for p in DICTIONARY)
     counts = ", ".join(f"len(list_filter(t, lambda x: lower(x) = '{w}'))::varchar" for w in VOCABULARY)
+    sizes = ", ".join(f"('{name}', {n}::bigint)" for name, n in {"ScalarMD": 7, "WordMD": 3, "CharMD": 3, "TokenMD": 2, **WIDTHS}.items())
     return {
         "standardize_keys": """
             select p_partkey, case when p_partkey % 7 <> 0 then trim(regexp_replace(p_name || '  ' || p_type, '[ \\t\\r\\n]+', ' ', 'g')) end as std from part""",
@@ -188,8 +190,8 @@ def oracle_sql() -> dict[str, str]:
             from kl where v is not null""",
         "pearson_pairs": f"with {MATRIX}, {PAIRS} select i, j, count(*) as n, round(corr(x, y), 6) as corr from p group by i, j",
         "spearman_pairs": f"with {MATRIX}, {PAIRS}, {RANKED} select i, j, n, round(corr, 6) as corr from sp",
-        "phi_pairs": """
-            with b as (select vec_id, unnest(range(12))::int as pos, unnest(list_transform(embedding[1:12], lambda x: (x > 0)::int::double)) as v from embeddings)
+        "phi_pairs": f"""
+            with b as (select vec_id, unnest(range({ELEMENTS}))::int as pos, unnest(list_transform(embedding, lambda x: (x > 0)::int::double)) as v from embeddings)
             select a.pos as i, b.pos as j, count(*) as n, round(corr(a.v, b.v), 6) as corr from b a join b on a.vec_id = b.vec_id and a.pos < b.pos group by all""",
         "redundant_features": f"with {MATRIX}, {PAIRS}, {RANKED}, {_losers()} select pos from lo",
         "quality_summary": f"""
@@ -208,9 +210,9 @@ def oracle_sql() -> dict[str, str]:
                    round(max(v), 6) as max, count(*) filter (where v is null) as missing,
                    round(count(*) filter (where v is null) * 100.0::double / count(*), 2) as missing_pct, count(distinct v) as "unique"
             from l group by pos""",
-        "extraction_report": """
+        "extraction_report": f"""
             select s as feature_set, count(*) filter (where p_partkey % 10 <> 0) as n_ok, count(*) filter (where p_partkey % 10 = 0) as n_failed, n as n_features
-            from part, (values ('ScalarMD', 7::bigint), ('WordMD', 3::bigint)) x(s, n) group by s, n""",
+            from part, (values {sizes}) x(s, n) group by s, n""",
         "tokens": rf"""
             select doc_id, case when len(t) > 0 then len(t)::int end as n_tokens, case when len(t) > 0 then md5(array_to_string(t, '|')) end as md5
             from (select doc_id, regexp_extract_all(text, {WORDS}) as t from documents)""",

@@ -17,7 +17,9 @@ from .plans.loop import history_table, run_loop
 from .plans.pipeline import run_pipeline
 from .sources.work import work_dir
 
-WIDTH = 10
+#: Features of ``matrix``: the elements of an embedding and four made of them; how many a row with gaps lacks.
+ELEMENTS, GAPS = 64, 24
+WIDTH = ELEMENTS + 4
 DICTIONARY = ["(?i)tion", "(?i)ment", "(?i)heit", "[0-9]{4}", "@", "!!", r"\|", "the "]
 VOCABULARY = ["the", "of", "de", "und", "la", "que"]
 
@@ -75,7 +77,7 @@ def first_valid(spark, sf):
 
 
 def id_value_map_exploded(spark, sf):
-    return _merged(spark, sf).select(*KEYS, F.explode("value_ids").alias("event_id", "value"))
+    return clean.id_values(measurements(spark, sf), KEYS, "value", "event_id")
 
 
 def merge_report(spark, sf):
@@ -117,11 +119,12 @@ def attach_features(spark, sf):
 
 
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
-    v, e = F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double"))
-    gone = [(v % 11 != i) & ((v % 17 != 0) if i < 4 else F.lit(True)) for i in range(6)]
-    cells = [F.when(g, e[i]) for i, g in enumerate(gone)]
-    cells += [F.when(v % 5 != 0, e[0] * 2), -e[1], (e[2] > 0).cast("double"), (v % 200 == 0).cast("double")]
-    return _t(spark, sf, "embeddings").select("vec_id", F.array(*cells).alias("features"))
+    """All elements, of which some are taken away (in rows by 17 enough for the row filter), and copies of three of them."""
+    v = F.col("vec_id")
+    cell = lambda x, i: F.when(((i > 5) | (v % 11 != i)) & ((i >= GAPS) | (v % 17 != 0)), x.cast("double"))
+    e = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    more = F.array(F.when(v % 5 != 0, e[0] * 2), -e[1], (e[2] > 0).cast("double"), (v % 200 == 0).cast("double"))
+    return _t(spark, sf, "embeddings").select("vec_id", F.concat(F.transform("embedding", cell), more).alias("features"))
 
 
 def _kept(spark, sf):
@@ -163,7 +166,7 @@ def spearman_pairs(spark, sf):
 
 
 def phi_pairs(spark, sf):
-    bits = F.transform(F.slice("embedding", 1, 12), lambda x: (x > 0).cast("double"))
+    bits = F.transform("embedding", lambda x: (x > 0).cast("double"))
     return redundancy.phi_pairs(_t(spark, sf, "embeddings").select("vec_id", bits.alias("features")), "vec_id").select("i", "j", "n", _r("corr"))
 
 
@@ -198,7 +201,7 @@ def _part_text(spark, sf):
 
 def extraction_report(spark, sf):
     p = _part_text(spark, sf).withColumn("text", F.when(F.col("p_partkey") % 10 != 0, F.col("text")))
-    return quality.extraction_report(X.extract(p, "p_partkey", "text", ("ScalarMD", "WordMD")))
+    return quality.extraction_report(X.extract(p, "p_partkey", "text"))
 
 
 def tokens(spark, sf):

@@ -96,6 +96,19 @@ def test_knn_ties_by_id(spark):
     assert got == [(4, 1), (9, 2), (3, 3)]
 
 
+def test_knn_in_blocks(spark):
+    rows = [(i, [float(i * 7 % 31), float(i * 3 % 5)]) for i in range(200)]
+    train = spark.createDataFrame(rows, "id long, features array<double>")
+    query = spark.createDataFrame([(i, [i * 1.5, 2.0]) for i in range(40)], "id long, features array<double>").repartition(3)
+    got = {(r["qid"], r["rank"]): r["tid"] for r in knn(query, train, 3, block_bytes=500).collect()}
+    want = {}
+    for q in range(40):
+        order = sorted((((q * 1.5 - x) ** 2 + (2.0 - y) ** 2), i) for i, (x, y) in rows)
+        want |= {(q, n + 1): order[n][1] for n in range(3)}
+    assert got == want
+    assert knn(query, train.limit(0), 3).count() == 0 and knn(query.limit(0), train, 3, block_bytes=500).count() == 0
+
+
 def test_loop(spark, tmp_path):
     rows = [(i, [float(i % 2) + 0.01 * (i % 7), 1.0], i % 2) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, features array<double>, y int")
