@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode, n_ids
+from .chat_format import format_chats, read_chats
 from .decontaminate import find_leaks
 from .jaccard_join import link_components
 from .langid import fit, held_out, identify
 from .line_dedup import dedup_lines
 from .minhash import fingerprint_edits
 from .pii import KINDS, find_personal_data, span_text
-from .shared import new_path
+from .prefix_trie import numbered_turns, prefix_trie, share_heads
+from .shared import new_path, stored
 from .substring_dedup import repeated_passages, repeated_runs
 from .url_filter import judge_urls
 from .warc import convert, mark_revisits, page_responses, read_arc, read_warc, write_arc, write_warc
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,8 +100,29 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "c")
+    return done.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error"
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(numbered_turns(_table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie(*share_heads(turns))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    done = read_chats(stored(format_chats(chats), "chats"))
+    return done.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", F.col("problem").isNull().alias("in_order"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op2_repeated_runs, op3_decontaminate, op4_byte_bpe, op5_arc_to_warc, op6_url_templates, op7_jaccard_join, op8_line_dedup, op9_personal_data, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op2_repeated_runs, op3_decontaminate, op4_byte_bpe, op5_arc_to_warc, op6_url_templates, op7_jaccard_join, op8_line_dedup, op9_personal_data, op10_minhash, op11_whitening, op12_prefix_trie, op13_chat_format)}
 
 
 #: DuckDB has ``lower`` for all letters only, so A-Z go through ``translate``.
@@ -144,4 +168,59 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, count(*)::bigint as n_lines, count(*) filter (where lost)::bigint as n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
             from m group by doc_id""",
+        "op12_prefix_trie": """
+            with crc as (
+                select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) as tbl),
+            own as (
+                select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                       row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos
+                from conversations where conv_id is not null),
+            listed as (select conv_id, list({'role': role, 'text': text} order by pos) as turns from own group by conv_id),
+            c as (
+                select conv_id, turns, conv_id - conv_id % 5 as base,
+                       xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+                                       lambda s, b: xor(s >> 8, tbl[1 + (xor(s, b) & 255)])), 4294967295) % 9 as h
+                from listed, crc),
+            r as (
+                select c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) as turns
+                from c left join listed b on b.conv_id = c.base),
+            p as (
+                select conv_id, len(turns) as length, unnest(range(0, len(turns) + 1)) as depth, turns from r),
+            k as (select conv_id, length, depth, sha256(to_json(turns[1:depth])::varchar) as node, sha256(to_json(turns[1:depth - 1])::varchar) as up,
+                         case when depth > 0 then strlen(turns[depth].text) else 0 end as n_bytes from p),
+            n as (
+                select node, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(up) as up, any_value(n_bytes) as n_bytes,
+                       sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where length = depth), '')) as ends_sha256
+                from k group by node, depth),
+            kids as (select up, depth - 1 as depth, count(*) as n_children from n where depth > 0 group by all),
+            f as (select n.*, coalesce(n_children, 0) as n_children from n left join kids on kids.up = n.node and kids.depth = n.depth),
+            below as (
+                select a.node, a.depth, sum(case when d.n_children = 0 then 1 else 0 end)::bigint as n_leaves,
+                       sum((d.n_convs - 1) * d.n_bytes)::bigint as saved_tokens
+                from f d join k on k.conv_id = d.conv_id and k.depth <= d.depth join f a on a.node = k.node and a.depth = k.depth
+                group by a.node, a.depth)
+            select f.conv_id, f.depth, u.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+            from f join below using (node, depth) left join f u on f.depth > 0 and u.node = f.up and u.depth = f.depth - 1""",
+        "op13_chat_format": """
+            with t as (
+                select conv_id, turn, role, text from conversations
+                union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+            e as (
+                select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
+                       regexp_replace(regexp_replace(coalesce(text, ''), '<(\\\\*/?s>)', '<\\\\\\1', 'g'),
+                                      '\\[(\\\\*(/?(SYS|INST)\\]|ROLE|/ROLE\\]))', '[\\\\\\1', 'g') as escaped
+                from t),
+            o as (
+                select *, row_number() over w as pos, lag(role) over w as before, count(*) over (partition by conv_id) as n
+                from e window w as (partition by conv_id order by turn nulls first, role, text)),
+            m as (
+                select *, case role when 'system' then 13 when 'user' then 15 when 'assistant' then 4 else 16 + length(url_encode(role)) end as marks,
+                       (pos = 1 and role in ('system', 'user') or before = 'system' and role = 'user' or before = 'user' and role = 'assistant'
+                           or before = 'assistant' and role = 'user') and (pos < n or role = 'assistant') as fits
+                from o)
+            select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
+                   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+                   sha256(coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '')) as loss_sha256,
+                   (3 + sum(marks + length(escaped)))::bigint as formatted_chars, bool_and(coalesce(fits, false)) as in_order
+            from m group by conv_id""",
     }
