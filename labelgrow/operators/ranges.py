@@ -1,4 +1,4 @@
-"""Running totals in the order of a value, without one task holding a whole group."""
+"""Running totals in the order of a value and joins of counted keys, without one task holding a whole group."""
 
 from __future__ import annotations
 
@@ -28,3 +28,19 @@ def running_totals(df: DataFrame, by: list[str], value: str, amount: str) -> Dat
     own = Window.partitionBy("range", "_group").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_own", F.coalesce(F.sum(amount).over(own), F.lit(0)))
     return placed.join(carried, ["range", "_group"]).withColumn("below", F.col("_carried") + F.col("_own")).drop("_group", "_own", "_carried")
+
+
+#: Keys that hold more than this share of all rows, and more rows than LEAST, are joined where their rows are.
+HOT_SHARE, LEAST = 1e-5, 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n_col: str, total: int, least: int | None = None) -> DataFrame:
+    """``rows`` joined with ``counted``, which has one row for each key and in ``n_col`` how many of the ``total`` rows have it.
+
+    Keys of more than ``HOT_SHARE`` of all rows are fewer than 1 / HOT_SHARE: they are broadcast, and
+    their rows stay where they are. The others meet by their key.
+    """
+    most = max(LEAST if least is None else least, int(total * HOT_SHARE))
+    hot = F.broadcast(counted.filter(F.col(n_col) > most).drop(n_col))
+    cold = counted.filter(F.col(n_col) <= most).drop(n_col)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))

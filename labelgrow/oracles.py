@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.features import WIDTHS
-from .queries import DICTIONARY, ELEMENTS, GAPS, VOCABULARY, WIDTH
+from .queries import DICTIONARY, ELEMENTS, GAPS, PRODUCTS, VOCABULARY, WIDTH
 
 MEASURED = """
 m as (
@@ -190,6 +190,12 @@ def oracle_sql() -> dict[str, str]:
             from kl where v is not null""",
         "pearson_pairs": f"with {MATRIX}, {PAIRS} select i, j, count(*) as n, round(corr(x, y), 6) as corr from p group by i, j",
         "spearman_pairs": f"with {MATRIX}, {PAIRS}, {RANKED} select i, j, n, round(corr, 6) as corr from sp",
+        "wide_pairs": f"""
+            with e as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+            x as (select vec_id, e || list_transform(flatten(list_transform(range(1, {PRODUCTS}), lambda i: list_transform(range(i + 1, {PRODUCTS} + 1), lambda j: [i, j]))), lambda p: e[p[1]] * e[p[2]]) as f from e),
+            l as (select vec_id, unnest(range(len(f)))::int as pos, unnest(f) as v from x),
+            k as (select * from l where vec_id % 13 <> pos % 40)
+            select a.pos as i, b.pos as j, count(*) as n, round(corr(a.v, b.v), 6) as corr from k a join k b on a.vec_id = b.vec_id and a.pos < b.pos group by all""",
         "phi_pairs": f"""
             with b as (select vec_id, unnest(range({ELEMENTS}))::int as pos, unnest(list_transform(embedding, lambda x: (x > 0)::int::double)) as v from embeddings)
             select a.pos as i, b.pos as j, count(*) as n, round(corr(a.v, b.v), 6) as corr from b a join b on a.vec_id = b.vec_id and a.pos < b.pos group by all""",

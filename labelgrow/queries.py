@@ -20,6 +20,8 @@ from .sources.work import work_dir
 #: Features of ``matrix``: the elements of an embedding and four made of them; how many a row with gaps lacks.
 ELEMENTS, GAPS = 64, 24
 WIDTH = ELEMENTS + 4
+#: Elements whose products with each other are features of ``wide_matrix``.
+PRODUCTS = 21
 DICTIONARY = ["(?i)tion", "(?i)ment", "(?i)heit", "[0-9]{4}", "@", "!!", r"\|", "the "]
 VOCABULARY = ["the", "of", "de", "und", "la", "que"]
 
@@ -165,6 +167,20 @@ def spearman_pairs(spark, sf):
     return _pairs(spark, sf, "spearman").select("i", "j", "n", _r("corr"))
 
 
+def wide_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The elements of an embedding and the products of each two of its first PRODUCTS ones, with gaps."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    two = F.lit([i * ELEMENTS + j for i in range(PRODUCTS) for j in range(i + 1, PRODUCTS)])
+    products = F.transform(two, lambda p: F.get("e", (p / ELEMENTS).cast("int")) * F.get("e", p % ELEMENTS))
+    rows = _t(spark, sf, "embeddings").select("vec_id", e.alias("e"))
+    return rows.select("vec_id", F.transform(F.concat("e", products), lambda c, i: F.when(F.col("vec_id") % 13 != i % 40, c)).alias("features"))
+
+
+def wide_pairs(spark, sf):
+    """More features than a task holds all pairs of: products of column blocks."""
+    return redundancy.correlation_pairs(wide_matrix(spark, sf), "pearson").select("i", "j", "n", _r("corr"))
+
+
 def phi_pairs(spark, sf):
     bits = F.transform("embedding", lambda x: (x > 0).cast("double"))
     return redundancy.phi_pairs(_t(spark, sf, "embeddings").select("vec_id", bits.alias("features")), "vec_id").select("i", "j", "n", _r("corr"))
@@ -423,7 +439,7 @@ def pipeline_run(spark, sf):
 PLAIN = (
     standardize_keys, drop_invalid, invalid_report, merge_duplicates, first_valid, id_value_map_exploded, merge_report, column_families, sanitize,
     split_labeled, labeled_docs, attach_features, row_missing_filter, column_missing_stats, binary_columns, low_variance, avg_rank, pearson_pairs,
-    spearman_pairs, phi_pairs, redundant_features, quality_summary, retained_columns, feature_statistics, extraction_report, tokens,
+    spearman_pairs, wide_pairs, phi_pairs, redundant_features, quality_summary, retained_columns, feature_statistics, extraction_report, tokens,
     scalar_descriptors, torsion_bits, folded_counts, dictionary_keys, type_counts, featurize, stratified_split, class_distribution, binary_metrics, roc_auc,
     top_configs, best_config, confident, balance_quota, two_ended_select, cap_select, relax_thresholds, selection_quality, quality_totals, convergence,
     expand_and_remaining, loop_two_iterations, training_history,
