@@ -22,7 +22,7 @@ from .shared import stored
 #: The running digest before any turn.
 ROOT = bytes(16)
 #: Turns of distinct conversations below a prefix, beyond which it is split by its next turn.
-SHARD_TURNS = 100_000
+SHARD_TURNS = 1_000
 
 
 def numbered_turns(df: DataFrame) -> DataFrame:
