@@ -127,10 +127,10 @@ def test_loop(spark, tmp_path):
 
 def test_gbt_is_registered_with_its_default_rounds(spark, monkeypatch):
     from labelgrow import queries
-    from labelgrow.plans.models import make_classifier
+    from labelgrow.plans.boosting import Boosting
 
     seen = {}
     monkeypatch.setattr(queries, "evaluate_one", lambda name, sets, train, test, **parameters: seen.update({name: parameters}))
     monkeypatch.setattr(queries, "grid_metrics", lambda made: made)
     queries.queries()["gbt"](spark, "/root/testdata/sf0.001")
-    assert make_classifier("gbt", **seen["gbt"]).getMaxIter() == 100
+    assert Boosting(**seen["gbt"]).rounds == 100
