@@ -24,12 +24,13 @@ patterns. Other columns ride along.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, stored
+from .shared import fresh, let, running_sums, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the method can find: the kinds of the base patterns, and keys.
@@ -82,48 +83,56 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _pieces(text: Column, pattern: str) -> Column:
+    """(gap, match) of all matches in turn; the last piece has a gap alone."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+
+
 def _placed(text: Column, pattern: str) -> Column:
-    """(start, end, match, gap) of all matches: the pieces between them and they add up to their places."""
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,gap:string>>").alias("out"))
+    """(start, end, match) of all matches: the pieces of the text add up to their places."""
+
+    def spans(pieces: Column) -> Column:
+        ends = running_sums(F.transform(pieces, lambda x: F.length(x["gap"]) + F.length(x["match"])))
+        one = lambda ends: lambda x, i: F.struct((F.get(ends, i) - F.length(x["match"])).alias("start"), F.get(ends, i).alias("end"), x["match"].alias("match"))
+        return let(ends, lambda e: F.transform(pieces, one(e)))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), x["gap"].alias("gap"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    return let(F.filter(_pieces(text, pattern), lambda x: x["match"].isNotNull()), spans)
 
-    return F.aggregate(F.filter(both, lambda x: x["match"].isNotNull()), zero, step, lambda acc: acc["out"])
+
+def _has(text: Column, kind: str) -> Column:
+    has = F.contains(text, F.lit(MUST_HAVE[kind])) if MUST_HAVE[kind] else F.lit(True)
+    return has & text.rlike(PATTERNS[kind].replace(r"|\G", "") if kind == "email" else PATTERNS[kind])
 
 
 def base_spans(text: Column, kind: str) -> Column:
     """The kind's spans (start, end) in ascending order."""
-    has = F.contains(text, F.lit(MUST_HAVE[kind])) if MUST_HAVE[kind] else F.lit(True)
-    has = has & text.rlike(PATTERNS[kind].replace(r"|\G", "")) if kind == "email" else has & text.rlike(PATTERNS[kind])
     found = F.filter(_placed(text, PATTERNS[kind]), lambda x: _valid(kind, x["match"]))
-    return F.when(has, F.transform(found, lambda x: F.struct(x["start"], x["end"]))).otherwise(F.array().cast(SPAN)).cast(SPAN)
+    return F.when(_has(text, kind), F.transform(found, lambda x: F.struct(x["start"], x["end"]))).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
-def _masked(text: Column, spans: list[Column], marks: bool = True) -> Column:
-    """The text with a kind's mark for each character of its base spans; where kinds overlap, the one that starts first.
+def _replaced(text: Column, kind: str, by: Callable[[Column], Column]) -> Column:
+    """The text with its valid matches of a kind replaced: pieces, put together once."""
 
-    Without ``marks``, the spans' own characters stay and only their blanks are replaced.
-    """
-    with_mark = lambda m: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(m).alias("mark"))
-    marked = [F.transform(s, with_mark(m)) for s, m in zip(spans, MARKS, strict=True)]
-    clean = F.translate(text, MARKS + JOINT, "?" * len(MARKS + JOINT))
+    def made(t: Column) -> Column:
+        piece = lambda x: F.concat(x["gap"], F.when(x["match"].isNull(), "").when(_valid(kind, x["match"]), by(x["match"])).otherwise(x["match"]))
+        return F.when(_has(t, kind), F.array_join(F.transform(_pieces(t, PATTERNS[kind]), piece), "")).otherwise(t)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.greatest(acc["at"], x["start"])
-        n = F.greatest(F.lit(0), x["end"] - start)
-        inside = F.repeat(x["mark"], n) if marks else F.translate(F.substring(clean, start + 1, n), " ", JOINT)
-        more = F.concat(acc["out"], F.substring(clean, acc["at"] + 1, start - acc["at"]), inside)
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
+    return let(text, made)
 
-    last = lambda acc: F.concat(acc["out"], F.substring(clean, acc["at"] + 1, F.length(clean)))
-    some = reduce(lambda a, b: a | b, [F.size(s) > 0 for s in spans])
-    made = F.aggregate(F.array_sort(F.concat(*marked)), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, last)
-    return F.when(some, made).otherwise(clean if marks else F.lit(None).cast("string"))
+
+def _masked(text: Column, spans: dict[str, Column], marks: bool = True) -> Column:
+    """The text with a kind's mark for each character of its base spans.
+
+    Kinds whose spans may hold blanks come first; no two of these overlap. Of an address or number that
+    overlaps one of them the rest may stay, but in one word with the marks. Without ``marks``, the
+    spans' own characters stay and only their blanks are replaced; null without any span.
+    """
+    out = F.translate(text, MARKS + JOINT, "?" * len(MARKS + JOINT))
+    for kind in ("phone", "card", "email", "ip") if marks else ("phone", "card"):
+        by = (lambda m, mark=MARKS[KINDS.index(kind)]: F.repeat(F.lit(mark), F.length(m))) if marks else (lambda m: F.translate(m, " ", JOINT))
+        out = F.when(F.size(spans[kind]) > 0, _replaced(out, kind, by)).otherwise(out)
+    some = reduce(lambda a, b: a | b, [F.size(s) > 0 for s in spans.values()])
+    return out if marks else F.when(some, out)
 
 
 def _words(text: Column) -> Column:
@@ -174,6 +183,28 @@ def _high(confidence: float, support: int) -> Column:
     return F.filter(each, lambda x: (x["score"] >= confidence) & (x["weight"] >= support))
 
 
+def _spans_of(masked: Column, found: Column) -> Column:
+    """(kind, start, end) of the tokens at these places, by kind, then start: one pass adds up the lengths of all words."""
+
+    def at(parts: Column) -> Column:
+        ends = running_sums(F.transform(parts, lambda w: F.length(w) + 1))
+
+        def span(ends: Column) -> Callable[[Column], Column]:
+            def one(x: Column) -> Column:
+                token = F.get(parts, x["place"])
+                cut = F.ltrim(token, F.lit(EDGES))
+                start = F.get(ends, x["place"]) - 1 - F.length(cut)
+                rank = F.array_position(F.array(*[F.lit(k) for k in FOUND]), x["kind"])
+                return F.struct(rank.alias("rank"), start.alias("start"), (start + F.length(F.rtrim(cut, F.lit(EDGES)))).alias("end"), x["kind"].alias("kind"))
+
+            return one
+
+        return let(ends, lambda e: F.array_sort(F.transform(found, span(e))))
+
+    made = let(F.split(F.translate(masked, BLANKS, " " * len(BLANKS)), " ", -1), at)
+    return F.transform(made, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+
 def find_personal_data(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -192,7 +223,7 @@ def find_personal_data(
     read = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), text.alias("text"))
     for kind in KINDS:
         read = read.withColumn(kind, base_spans(F.col("text"), kind))
-    spans = [F.col(k) for k in KINDS]
+    spans = {k: F.col(k) for k in KINDS}
     read = read.withColumn("masked", _masked(F.col("text"), spans)).withColumn("joined", _masked(F.col("text"), spans, marks=False))
     read = stored(read.drop("text"), "personal")
     seeds = _uses(read.filter("joined is not null"), joined=True).union(_uses(read.filter(F.col("masked").rlike(KEY_RUN))).filter("kind is not null"))
@@ -223,20 +254,11 @@ def find_personal_data(
             again = again.groupBy("pattern", "one", "instance").agg(F.first("best").alias("best"))
             scored = first.union(again.select("pattern", "one", "best.kind", "best.score"))
     new = after.groupBy("doc", "text_hash", "place").agg(F.max("best").alias("best"))
-    known = read.select("doc", "text_hash", F.translate("masked", BLANKS, " " * len(BLANKS)).alias("flat")).distinct()
-    same = F.col("doc").eqNullSafe(F.col("known_doc")) & (F.col("text_hash") == F.col("known_hash"))
-    new = new.join(known.withColumnsRenamed({"doc": "known_doc", "text_hash": "known_hash"}), same)
-    begin = F.when(F.col("place") == 0, 0).otherwise(F.length(F.call_function("substring_index", F.col("flat"), F.lit(" "), F.col("place"))) + 1)
-    new = new.withColumn("begin", begin).withColumn("token", F.call_function("substring_index", F.substring(F.col("flat"), F.col("begin") + 1, F.length("flat")), F.lit(" "), F.lit(1)))
-    cut = F.ltrim(F.col("token"), F.lit(EDGES))
-    new = new.withColumn("start", (F.col("begin") + F.length("token") - F.length(cut)).cast("int"))
-    new = new.withColumn("end", (F.col("start") + F.length(F.rtrim(cut, F.lit(EDGES)))).cast("int"))
-    rank = F.array_position(F.array(*[F.lit(k) for k in FOUND]), F.col("best.kind"))
-    new = new.groupBy("doc", "text_hash").agg(F.collect_set(F.struct(rank.alias("rank"), "start", "end", F.col("best.kind").alias("kind"))).alias("new"))
+    new = new.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("place", F.col("best.kind").alias("kind"))).alias("new"))
     new = new.withColumnsRenamed({"doc": "new_doc", "text_hash": "new_hash"})
     joined = read.join(new, F.col("doc").eqNullSafe(F.col("new_doc")) & F.col("text_hash").eqNullSafe(F.col("new_hash")), "left")
     of = lambda k: F.transform(k, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    ordered = F.transform(F.array_sort("new"), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    ordered = F.when(F.col("new").isNotNull(), _spans_of(F.col("masked"), F.col("new")))
     rest = [F.col("row")[c].alias(c) for c in docs.columns if c != text_col]
     return joined.select(*rest, F.concat(*[of(k) for k in KINDS]).alias(base_col), F.coalesce(ordered, F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias(found_col))
 

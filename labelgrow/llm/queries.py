@@ -87,12 +87,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: lambda x: x["kind"] == kind
+    spans, keys = F.concat("base", F.filter("found", lambda x: x["kind"] != "key")), F.filter("found", of("key"))
     return found.select(
         "doc_id",
         *[F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
-        span_text(F.concat("base", "found")).alias("spans"),
-        F.size(F.concat("base", "found")).cast("long").alias("n_spans"),
+        span_text(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
+        span_text(keys).alias("keys"),
     )
 
 

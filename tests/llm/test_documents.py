@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelgrow.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, minhash, pii, shingles, substring_dedup
+from labelgrow.llm.shared import running_sums
 
 AZ = {c: c + 32 for c in range(65, 91)}
 
@@ -385,6 +388,25 @@ def test_personal_data_finds_planted_identifiers(spark):
     assert len(keys) >= 0.9 * sum("token" in t.lower() and i % 8 != 7 and i is not None for i, t in rows if i is not None)
 
 
+def test_personal_data_in_long_texts(spark):
+    """Linear work: 100,000 addresses in one text, with other kinds between them and an unseen one."""
+    phones = [f"mail to: u{i}@h{i % 977}.example.org tel: +49 {i % 1000:03d} 55{i % 10000:04d} ip 10.0.{i % 256}.7" if i % 10 == 0 else f"u{i}@h{i % 977}.example.org" for i in range(100_000)]
+    text = " ".join(phones) + " tel: 0171-555.12 end"
+    df = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.find_personal_data(df).collect()}
+    assert time.perf_counter() - began < 120
+    assert [tuple(s) for s in got[1]["base"]] == spans_by_hand(text)
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in got[1]["found"]] == [("phone", "0171-555.12")] and not got[2]["base"]
+
+
+def test_running_sums(spark):
+    rows = [(i, [j % 7 for j in range(n)]) for i, n in enumerate([0, 1, 63, 64, 65, 128, 1000])]
+    df = spark.createDataFrame(rows, "i int, a array<int>")
+    for r in df.select("a", running_sums(F.col("a")).alias("s"), running_sums(F.col("a"), 3).alias("t")).collect():
+        assert r["s"] == r["t"] == list(itertools.accumulate(r["a"]))
+
+
 def test_personal_data_of_rows_without_id(spark):
     texts = [f"blah tel: +1 555 {1000 + i} 22 x" for i in range(12)] + ["blah tel: 0171-555.12 and on"]
     for ids in (range(13), [None] * 13):
