@@ -12,7 +12,7 @@ from .functions import features as X
 from .functions.scalars import family
 from .operators import clean, columns, metrics, monitor, quality, redundancy, sampling
 from .operators.neighbors import knn, knn_predict
-from .plans.grid import evaluate_one, grid_metrics
+from .plans.grid import evaluate_grid, evaluate_one, grid_metrics
 from .plans.loop import history_table, run_loop
 from .plans.pipeline import run_pipeline
 from .sources.work import work_dir
@@ -429,6 +429,17 @@ def _model_query(name: str, **parameters) -> Callable:
     return query
 
 
+def model_grid(spark, sf):
+    """Five models on two feature sets of the embeddings, fitted side by side: elements, and signs of the elements."""
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), (F.col("label") == 0).cast("int").alias("y"))
+    signs = rows.withColumn("features", F.transform("features", lambda x: (x > 0).cast("double")))
+    sets = {n: sampling.approximate_split(d, "id") for n, d in (("elements", rows), ("signs", signs))}
+    made, errors = evaluate_grid(sets, ("logistic", "random_forest", "gbt", "svc", "knn"), work_dir=work_dir(spark, "grid"), parameters={"gbt": {"rounds": 20}})
+    if errors:
+        raise RuntimeError(f"combinations failed: {errors}")
+    return made
+
+
 def pipeline_run(spark, sf):
     docs = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id", "left")
     raw = docs.select("doc_id", F.col("doc_id").alias("_ord"), F.md5("text").alias("key"), "text", F.col("quality").cast("double").alias("quality"))
@@ -442,7 +453,7 @@ PLAIN = (
     spearman_pairs, wide_pairs, phi_pairs, redundant_features, quality_summary, retained_columns, feature_statistics, extraction_report, tokens,
     scalar_descriptors, torsion_bits, folded_counts, dictionary_keys, type_counts, featurize, stratified_split, class_distribution, binary_metrics, roc_auc,
     top_configs, best_config, confident, balance_quota, two_ended_select, cap_select, relax_thresholds, selection_quality, quality_totals, convergence,
-    expand_and_remaining, loop_two_iterations, training_history,
+    expand_and_remaining, loop_two_iterations, training_history, model_grid,
 )
 
 
