@@ -11,43 +11,56 @@ from pyspark.sql import functions as F
 from ..config import SamplerConfig
 
 
-#: Rows that one task may hold in a top-k.
-TOP_K = 1_000_000
+#: Hexadecimal digits of a hash by which it is counted at once; hashes that the driver may see.
+DIGITS, MOST = 3, 4096
 
 
 def hash_order(id_col: str, seed: int) -> Column:
-    """A random but repeatable order of ids."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    """A random but repeatable order of ids; a missing id counts as an empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
-def sample_k(df: DataFrame, k: int, id_col: str, seed: int = 42) -> DataFrame:
-    """k rows without replacement: the first in hash order, found by a top-k on each task."""
-    return df.orderBy(hash_order(id_col, seed), id_col).limit(k)
+def kth_hash(df: DataFrame, k: int, id_col: str, seed: int = 42) -> tuple[str, int, int] | None:
+    """(hash, r, n): the first k rows in hash order are all below the hash and r of the n rows that have it; None if k is all rows or more.
 
-
-def sample_large(df: DataFrame, k: int, id_col: str, seed: int = 42) -> DataFrame:
-    """``sample_k`` for a k that one task shouldn't hold.
-
-    The hash's first 28 bits are counted in 4096 cells; whole cells below the one where the k-th row
-    lies pass a narrow filter, and only that cell is ordered.
+    Rows are counted by the first digits of their hash, then by more digits within the cell where the
+    k-th lies, until that cell's hashes are few: each round reads the ids alone and hands the driver
+    16 ** DIGITS counts, or MOST.
     """
-    cell = F.conv(F.substring(hash_order(id_col, seed), 1, 3), 16, 10).cast("int")
-    marked = df.withColumn("_cell", cell)
-    counts = sorted((x["_cell"], x["count"]) for x in marked.groupBy("_cell").count().collect())
-    done, last = 0, None
-    for c, n in counts:
-        if done + n > k:
-            last = c
-            break
-        done += n
-    if last is None:
-        return df
-    return marked.filter(F.col("_cell") < last).drop("_cell").union(sample_k(marked.filter(F.col("_cell") == last).drop("_cell"), k - done, id_col, seed))
+    hashes = df.select(hash_order(id_col, seed).alias("h"))
+    prefix, before = "", 0
+    while len(prefix) < 32:
+        width = min(len(prefix) + DIGITS, 32)
+        for whole in (False, True):
+            cell = F.col("h") if whole else F.substring("h", 1, width)
+            counts = sorted(tuple(x) for x in hashes.filter(F.col("h").startswith(prefix)).groupBy(cell.alias("c")).count().collect())
+            for c, n in counts:
+                if before + n >= k:
+                    break
+                before += n
+            else:
+                return None
+            if whole:
+                return c, k - before, n
+            prefix = c
+            if n > MOST:
+                break
+    return prefix, k - before, n
 
 
 def sample(df: DataFrame, k: int, id_col: str, seed: int = 42) -> DataFrame:
-    """k rows in hash order, the way that suits k."""
-    return sample_k(df, k, id_col, seed) if k <= TOP_K else sample_large(df, k, id_col, seed)
+    """k rows without replacement, the first in hash order: a filter on the hash, whatever k is.
+
+    No row but those that share the k-th row's hash, as repeated ids do, is sorted or moved.
+    """
+    if k <= 0:
+        return df.limit(0)
+    found = kth_hash(df, k, id_col, seed)
+    if found is None:
+        return df
+    last, r, n = found
+    h = hash_order(id_col, seed)
+    return df.filter(h <= last) if r == n else df.filter(h < last).unionByName(df.filter(h == last).limit(r))
 
 
 def split_sizes(counts: dict, fraction: float) -> dict:
