@@ -210,6 +210,11 @@ def oracle_sql() -> dict[str, str]:
             union all select 'column_filter', n, (select count(*) from cm) from n
             union all select 'variance_filter', n, (select count(*) from cv) from n
             union all select 'redundancy_removal', n, (select count(*) from cv) - (select count(*) from lo) from n""",
+        "quality_table": f"""
+            with {MATRIX}, {PAIRS}, {RANKED},
+            cv as (select pos from s where missing_ratio <= 0.1 and not coalesce(is_binary and variance < 0.01, false)),
+            {_losers(among='sp.i in (select pos from cv) and sp.j in (select pos from cv)')}
+            select vec_id, pos, round(v, 6) as v from kl where pos in (select pos from cv) and pos not in (select pos from lo)""",
         "retained_columns": "select p_brand as feature_set, string_agg(p_name, ',' order by p_partkey, p_name) as retained from part group by p_brand",
         "feature_statistics": f"""
             with {MATRIX} select 'Emb.' || pos::varchar as feature, 'Emb' as type, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as std, round(min(v), 6) as min,
@@ -259,6 +264,9 @@ def oracle_sql() -> dict[str, str]:
         "confident": f"with {SCORED} select id, prob, pseudo_label::int as pseudo_label from cf",
         "balance_quota": f"with {QUOTA} select take_pos::bigint as take_pos, take_neg::bigint as take_neg from q",
         "two_ended_select": f"with {QUOTA}, {_picked('q')}",
+        "selection_history": f"""
+            with {QUOTA} select 1 as iteration, take_pos::bigint as n_pos_before_cap, take_neg::bigint as n_neg_before_cap, 0.9::double as threshold_high,
+                   0.1::double as threshold_low from q""",
         "cap_select": f"with {QUOTA}, {_cap(51)}, {_picked('cq')}",
         "relax_thresholds": f"""
             with {QUOTA}, {_cap(15)} select case when take_pos < 10 then 0.85::double else 0.9::double end as threshold_high,

@@ -196,6 +196,13 @@ def quality_summary(spark, sf):
     return quality.quality_summary(spark, steps)
 
 
+def quality_table(spark, sf):
+    """What all filters leave, value by value, under the places that features had before."""
+    table, left, _ = quality.quality_pipeline(matrix(spark, sf), QualityConfig())
+    cells = table.select("vec_id", F.posexplode("features").alias("i", "v"))
+    return cells.select("vec_id", F.get(F.lit(left).cast("array<int>"), F.col("i")).alias("pos"), _r("v"))
+
+
 def retained_columns(spark, sf):
     dims = _t(spark, sf, "part").select(F.col("p_brand").alias("feature_set"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"))
     return quality.retained_columns(dims).select("feature_set", F.array_join("retained", ",").alias("retained"))
@@ -366,6 +373,11 @@ def two_ended_select(spark, sf):
     return _select(spark, sf, SamplerConfig())[0]
 
 
+def selection_history(spark, sf):
+    _, state = _select(spark, sf, SamplerConfig(cap=51))
+    return sampling.selection_history(spark, state)
+
+
 def cap_select(spark, sf):
     return _select(spark, sf, SamplerConfig(cap=51))[0]
 
@@ -450,9 +462,9 @@ def pipeline_run(spark, sf):
 PLAIN = (
     standardize_keys, drop_invalid, invalid_report, merge_duplicates, first_valid, id_value_map_exploded, merge_report, column_families, sanitize,
     split_labeled, labeled_docs, attach_features, row_missing_filter, column_missing_stats, binary_columns, low_variance, avg_rank, pearson_pairs,
-    spearman_pairs, wide_pairs, phi_pairs, redundant_features, quality_summary, retained_columns, feature_statistics, extraction_report, tokens,
+    spearman_pairs, wide_pairs, phi_pairs, quality_table, redundant_features, quality_summary, retained_columns, feature_statistics, extraction_report, tokens,
     scalar_descriptors, torsion_bits, folded_counts, dictionary_keys, type_counts, featurize, stratified_split, class_distribution, binary_metrics, roc_auc,
-    top_configs, best_config, confident, balance_quota, two_ended_select, cap_select, relax_thresholds, selection_quality, quality_totals, convergence,
+    top_configs, best_config, confident, balance_quota, two_ended_select, selection_history, cap_select, relax_thresholds, selection_quality, quality_totals, convergence,
     expand_and_remaining, loop_two_iterations, training_history, model_grid,
 )
 
