@@ -145,6 +145,11 @@ NEAR = f"""{FEATURES},
 x as (select po.id as qid, tr.id as tid, y, (po.a - tr.a) ** 2 + (po.b - tr.b) ** 2 + (po.c - tr.c) ** 2 as d2 from po, tr),
 nn as (select *, row_number() over (partition by qid order by d2, tid) as rank from x)"""
 
+VECTORS = """
+e as (select vec_id as id, list_transform(embedding, lambda x: x::double) as f, label % 2 as y from embeddings),
+po as (select id, f from e where id % 4 <> 0)"""
+D2 = "list_sum(list_transform(list_zip(po.f, tr.f), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
 
 def oracle_sql() -> dict[str, str]:
     descriptors = """
@@ -251,6 +256,26 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, r.lang from r join k on r.lang = k.lang where rn <= k""",
         "knn": f"with {NEAR} select qid, rank::int as rank, tid, round(sqrt(d2), 6) as dist from nn where rank <= 5",
         "knn_predict": f"with {NEAR} select qid, avg(y::double) as prob, (avg(y::double) > 0.5)::int as pred from nn where rank <= 5 group by qid",
+        "knn_elements": f"""
+            with {VECTORS}, tr as (select * from e where id % 4 = 0),
+            nn as (select po.id as qid, tr.id as tid, {D2} as d2, row_number() over (partition by po.id order by d2, tr.id) as rank from po, tr)
+            select qid, rank::int as rank, tid, round(sqrt(d2), 6) as dist from nn where rank <= 5""",
+        "loop_one_iteration": f"""
+            with {VECTORS},
+            c as (select y, count(*) as n, floor(0.2 * count(*) + 1e-9) as base, 0.2 * count(*) - floor(0.2 * count(*) + 1e-9) as rest from e where id % 4 = 0 group by y),
+            pl as (select *, row_number() over (order by rest desc, y) as place, ceil(0.2 * sum(n) over () - 1e-9) - sum(base) over () as more from c),
+            k as (select y, base + case when place <= more then 1 else 0 end as k from pl),
+            o as (select *, row_number() over (partition by y order by md5('42|' || id::varchar), id) as rn from e where id % 4 = 0),
+            tr as (select id, f, o.y from o join k on o.y = k.y where rn > k),
+            x as (select po.id, tr.y, row_number() over (partition by po.id order by {D2}, tr.id) as rank from po, tr),
+            sc as (select id, avg(y::double) as prob from x where rank <= 5 group by id),
+            cf as (select *, case when prob >= 0.8 then 1 when prob <= 0.2 then 0 end as pseudo_label from sc),
+            n as (select count(*) filter (where pseudo_label = 1) as p, count(*) filter (where pseudo_label = 0) as n from cf),
+            t as (select count(*) filter (where y = 1) as pos, count(*) filter (where y = 0) as neg from tr),
+            q0 as (
+                select p, n, case when pos < neg then least(p, neg - pos) else least(p, least(n, pos - neg)) end as a,
+                       case when pos < neg then least(n, least(p, neg - pos)) else least(n, pos - neg) end as b from n, t),
+            q as (select least(p, greatest(a, 10)) as take_pos, least(n, greatest(b, 10)) as take_neg from q0), {_picked('q')}""",
         "class_distribution": "select quality, count(*) as n from labels group by quality",
         "binary_metrics": f"""
             with {PREDICTED}, {_metrics('model')} select model, tp::bigint as tp, tn::bigint as tn, fp::bigint as fp, fn::bigint as fn, {RATES} from g""",

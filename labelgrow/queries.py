@@ -306,6 +306,17 @@ def knn_votes(spark, sf):
     return knn_predict(knn(pool, train), train)
 
 
+def _vector_parts(spark, sf):
+    """Embeddings with a label known for every fourth, as (id, features, y) and (id, features)."""
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), (F.col("label") % 2).cast("int").alias("y"))
+    return rows.filter("id % 4 = 0"), rows.filter("id % 4 <> 0").drop("y")
+
+
+def knn_elements(spark, sf):
+    train, pool = _vector_parts(spark, sf)
+    return knn(pool, train).select("qid", "rank", "tid", _r("dist"))
+
+
 def class_distribution(spark, sf):
     return metrics.class_distribution(_t(spark, sf, "labels"), "quality")
 
@@ -426,6 +437,13 @@ def loop_two_iterations(spark, sf):
     return done.selections
 
 
+def loop_one_iteration(spark, sf):
+    """Split, knn on all elements, votes, thresholds, quotas and picks of the loop's first round."""
+    train, pool = _vector_parts(spark, sf)
+    cfg, sampler = LoopConfig(max_iterations=1), SamplerConfig(threshold_high=0.8, threshold_low=0.2)
+    return run_loop(train, pool, work_dir(spark, "loop"), "knn", cfg=cfg, sampler=sampler).selections
+
+
 def training_history(spark, sf):
     train, pool = _doc_parts(spark, sf)
     done = run_loop(train, pool, work_dir(spark, "loop"), "logistic", cfg=LoopConfig(max_iterations=3))
@@ -465,7 +483,7 @@ PLAIN = (
     spearman_pairs, wide_pairs, phi_pairs, quality_table, redundant_features, quality_summary, retained_columns, feature_statistics, extraction_report, tokens,
     scalar_descriptors, torsion_bits, folded_counts, dictionary_keys, type_counts, featurize, stratified_split, class_distribution, binary_metrics, roc_auc,
     top_configs, best_config, confident, balance_quota, two_ended_select, selection_history, cap_select, relax_thresholds, selection_quality, quality_totals, convergence,
-    expand_and_remaining, loop_two_iterations, training_history, model_grid,
+    expand_and_remaining, knn_elements, loop_one_iteration, loop_two_iterations, training_history, model_grid,
 )
 
 
