@@ -253,6 +253,23 @@ def _links(units: DataFrame, percent: int) -> DataFrame:
     return dealt.select("family", "i", "j", "part", "class", "items").mapInArrow(run, "a long, b long")
 
 
+def deal_families(members: DataFrame) -> DataFrame:
+    """A table (class, family, n) with the number of its family's ``chunks`` and its ``own``; families of one class go."""
+    totals = members.groupBy("family").agg(
+        F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_ITEMS)).cast("int").alias("chunks"), F.count("*").alias("members")
+    )
+    return members.join(totals.filter("members > 1").drop("members"), "family").withColumn("own", F.expr("cast(pmod(xxhash64(class), chunks) as int)"))
+
+
+def chunk_links(full: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links that connect the classes of a table (family, chunks, own, class, items), each pair of chunks one unit."""
+    others = F.sequence(F.lit(0), F.col("chunks") - 1)
+    unit = F.transform(
+        others, lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j"), (F.col("own") > x).cast("int").alias("part"))
+    )
+    return _links(full.withColumn("u", F.explode(unit)).select("family", "u.i", "u.j", "u.part", "class", "items"), percent)
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, group_col: str | None = None) -> DataFrame:
     """The table without its text and with ``n_shingles`` and ``component_id``, the smallest id that links reach.
 
@@ -266,11 +283,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = stored(_families(rows.select("node", "n_shingles", "class", "sample"), percent), "families")
     wanted = rows.join(families, "class").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("family").alias("family"))
     wanted = stored(wanted, "wanted")
-    totals = wanted.groupBy("family").agg(
-        F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_ITEMS)).cast("int").alias("chunks"), F.count("*").alias("members")
-    )
-    placed = wanted.join(totals.filter("members > 1").drop("members"), "family").withColumn("own", F.expr("cast(pmod(xxhash64(class), chunks) as int)"))
-    placed = stored(placed, "placed")
+    placed = stored(deal_families(wanted), "placed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,12 +297,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = base.select("doc", "text")
     met = texts.join(F.broadcast(keys) if small else keys, F.col("doc").eqNullSafe(F.col("rep")))
     full = met.select("doc", "class", "text", "family", "chunks", "own").mapInArrow(sets, "family long, chunks int, own int, class long, items array<bigint>")
-    others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    unit = F.transform(
-        others, lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j"), (F.col("own") > x).cast("int").alias("part"))
-    )
-    units = full.withColumn("u", F.explode(unit)).select("family", "u.i", "u.j", "u.part", "class", "items")
-    linked = components(_links(units, percent)).select(F.col("node").alias("class"), F.col("component").alias("linked"))
+    linked = components(chunk_links(full, percent)).select(F.col("node").alias("class"), F.col("component").alias("linked"))
     named = rows.select("row", "doc", "n_shingles", "class").join(linked, "class", "left").withColumn("group", F.coalesce("linked", "class"))
     named = stored(named.drop("linked"), "named")
     least = named.filter("class is not null").groupBy("group").agg(F.min("doc").alias("component"))

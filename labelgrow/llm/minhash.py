@@ -5,7 +5,7 @@ the least value that one universal hash permutation, ``a * x + b`` modulo 2**32
 over the set; all slots are filled in numpy over whole batches. The share of equal slots of two
 signatures estimates the sets' Jaccard similarity. A fingerprint is the signature's slots, 16 bits of
 each, in hexadecimal. Near duplicates are found by joining bands of signatures in Spark; Jaccard over
-the full sets then decides.
+the full sets then decides about all pairs of what bands connect.
 
 Defined cases: a text that is null or without words has the empty set; two empty sets have a likeness
 of 1, an empty and another one of 0. Equal texts have equal fingerprints. Rows that share an id are
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import components
+from .jaccard_join import PERCENT, chunk_links, deal_families
 from .shared import fresh, stored, text_batches
 from .shingles import shingle_sets, shingles, slices
 
@@ -78,14 +80,16 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "finger
     return text_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, k: int = SHINGLE) -> DataFrame:
+def fingerprint_edits(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, k: int = SHINGLE, digest_col: str | None = None
+) -> DataFrame:
     """Fingerprints of each text and of its edited text, which ends with the beginning of the next document.
 
     The last quarter (rounded down) of a text's code points is replaced by as many of the next
     document's first ones, or all if it has fewer; documents follow each other by ascending id, the
     first one after the last. Ids are dealt into buckets at ids that the table holds, so that each
     bucket's last document finds its neighbour in a copy of the next bucket's first one; texts are
-    shuffled once and pass through each task as a sorted stream.
+    shuffled once and pass through each task as a sorted stream. ``digest_col`` adds the text's MD5.
     """
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -123,6 +127,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             T.StructField("edited_fingerprint", T.StringType()),
             T.StructField("near_edited", T.DoubleType()),
             T.StructField("near_next", T.DoubleType()),
+            *([T.StructField(digest_col, T.StringType())] if digest_col else []),
         ]
     )
 
@@ -151,6 +156,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     pa.array(_hex(other), pa.string()),
                     pa.array((own[rows] == other).mean(1) if len(rows) else [], pa.float64()),
                     pa.array((own[rows] == own[rows + 1]).mean(1) if len(rows) else [], pa.float64()),
+                    *([pa.array([hashlib.md5(texts[i].encode(), usedforsecurity=False).hexdigest() for i in rows], pa.string())] if digest_col else []),
                 ],
                 names=schema.names,
             )
@@ -159,39 +165,75 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, slots: int = SLOTS, k: int = SHINGLE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = 16, slots: int = SLOTS, k: int = SHINGLE
 ) -> DataFrame:
-    """(id, other, jaccard): verified links between each band bucket's smallest id and its other members.
-
-    Bands of equal signature slots are joined through the smallest id of their bucket, so that a
-    bucket of any size gives as many links as members, not pairs; Jaccard over the whole sets of
-    shingles decides about each. Bands find what the signatures suggest, so this is a probable
-    result; the n-gram join is the exact one. Texts without words and null ids have no links.
+    """(digest, near_id) of each distinct text: the smallest id that links of its signature's bands reach.
+
+    1. A pass over the texts gives signatures and digests; equal sets of shingles become one class.
+    2. Classes that share a band (``slots / bands`` equal slots in a row) with another one are joined
+       through the smallest class of that band, so that a bucket of any size gives as many edges as
+       members. What these edges connect is one family.
+    3. All pairs within a family are verified by the exact Jaccard similarity of their whole sets (at
+       least ``percent`` per cent), in units of bounded size. As every pair of one bucket is in one
+       family, no pair that a band brings together is lost; pairs that share no band are.
+
+    ``digest`` is the MD5 of the text. Texts that link with nothing have the smallest id of their own
+    rows; those of null ids alone have null. Texts without words are left out.
     """
     width = slots // bands
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = signatures(batch.column(1), slots, k)
-            kept = np.flatnonzero((made != 0xFFFF).any(1))
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False)[kept], bands)
-            keys = [made[i, b * width : (b + 1) * width].tobytes() for i in kept for b in range(bands)]
+            made = signatures(batch.column(2), slots, k)[:, : bands * width].reshape(-1, width)
+            parts = [hashlib.blake2b(x.tobytes(), digest_size=8, salt=(i % bands).to_bytes(4, "little")).digest() for i, x in enumerate(made)]
+            keys = pa.array(np.frombuffer(b"".join(parts), np.int64))
+            sets = list(shingle_sets(batch.column(2), k))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(kept))), pa.array(keys, pa.binary())], names=["id", "band", "key"]
+                [
+                    *batch.columns[:2],
+                    pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+                    pa.array([len(x) for x in sets], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), keys),
+                ],
+                names=["doc", "digest", "set", "n", "bands"],
             )
 
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    keys = stored(base.mapInArrow(cut, "id long, band int, key binary"), "bands")
-    leaders = keys.groupBy("band", "key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last"))
-    links = keys.join(leaders.select("band", "key", "first"), ["band", "key"]).filter(F.col("id") != F.col("first")).select("first", "id").distinct()
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    base = text_batches(base.select("doc", F.md5("text").alias("digest"), "text"))
+    made = base.mapInArrow(cut, "doc long, digest string, set binary, n int, bands array<bigint>").filter("n > 0")
+    rows = stored(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    place = F.struct("doc", "digest")
+    classes = rows.groupBy("set").agg(F.min("row").alias("class"), F.min(place).alias("holder"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = stored(classes, "classes")
+
+    keys = classes.select("class", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last").select("key", "first")
+    edges = keys.join(stored(shared, "bands"), "key").filter("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
+    families = components(edges).select(F.col("node").alias("class"), F.col("component").alias("family"))
+    placed = stored(deal_families(classes.select("class", "n", "holder.doc", "holder.digest").join(families, "class")), "placed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [x.view(np.int64) for x in shingle_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "items"])
-
-    items = base.mapInArrow(sets, "id long, items array<bigint>")
-    both = links.join(items, "id").withColumnRenamed("items", "own").join(items.withColumnsRenamed({"id": "first", "items": "others"}), "first")
-    common = F.size(F.array_intersect("own", "others"))
-    jaccard = common / (F.size("own") + F.size("others") - common)
-    return both.select(F.col("first").alias(id_col), F.col("id").alias("other"), jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+            items = pa.array([x.view(np.int64) for x in shingle_sets(batch.column(0), k)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], items], names=[*batch.schema.names[1:], "items"])
+
+    texts = base.join(placed, ["doc", "digest"]).dropDuplicates(["class"]).select("text", "family", "chunks", "own", "class")
+    full = texts.mapInArrow(sets, "family long, chunks int, own int, class long, items array<bigint>")
+    linked = components(chunk_links(full, percent)).select(F.col("node").alias("class"), F.col("component").alias("linked"))
+    grouped = classes.select("set", "class").join(linked, "class", "left").select("set", F.coalesce("linked", "class").alias("group"))
+    real = F.when(F.col("doc") != NO_ID, F.col("doc"))
+    named = stored(rows.groupBy("set", "digest").agg(F.min(real).alias("doc")).join(grouped, "set").select("digest", "doc", "group"), "named")
+    least = named.groupBy("group").agg(F.min("doc").alias("near_id"))
+    return named.join(least, "group").select("digest", "near_id")
+
+
+def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``fingerprint_edits`` with ``near_id``, the smallest id of the document's near duplicates, itself included.
+
+    A text without words has its own id.
+    """
+    marks = fingerprint_edits(docs, id_col, text_col, digest_col="digest")
+    near = stored(near_duplicates(docs, id_col, text_col, percent), "near").withColumnRenamed("digest", "of")
+    found = marks.join(near, F.col("digest") == F.col("of"), "left")
+    own = F.when(F.col("of").isNull(), F.col(id_col).cast("long")).otherwise(F.col("near_id"))
+    return found.select(*[c for c in marks.columns if c != "digest"], own.alias("near_id"))

@@ -13,7 +13,7 @@ from .decontaminate import find_leaks
 from .jaccard_join import link_components
 from .langid import fit, held_out, identify
 from .line_dedup import dedup_lines
-from .minhash import fingerprint_edits
+from .minhash import fingerprint_groups
 from .pii import KINDS, find_personal_data, span_text
 from .prefix_trie import numbered_turns, prefix_trie, share_heads
 from .shared import new_path, stored
@@ -99,7 +99,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+    return fingerprint_groups(_table(spark, sf_dir, "documents"))
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,7 +194,39 @@ def test_minhash_estimates_jaccard_and_links(spark):
     assert abs((a == b).mean() - true) < 0.06
     close = base[:395] + ["z"] * 5
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(close)), (3, " ".join(other)), (None, "x"), (4, None)], "doc_id long, text string")
-    assert [(r["doc_id"], r["other"]) for r in minhash.near_duplicates(df).collect()] == [(1, 2)]
+    got = {r["doc_id"]: r["near_id"] for r in minhash.fingerprint_groups(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, None: None, 4: 4}
+
+
+def test_minhash_groups(spark, awkward, empty, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK_SETS", 4)  # families of several chunks
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):  # chains: each text differs from the one before, the last ones from the first
+        now = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(120, 200))]
+        for _ in range(rng.randint(1, 12)):
+            texts.append(" ".join(now))
+            at = rng.randrange(len(now))
+            now[at] = f"x{rng.randrange(10**6)}"
+    texts += [texts[0], texts[5].upper(), "one two", "one two", "", None, ". \n"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (None, "no other"), (7, "of a shared id"), (7, "of a shared id")]
+    rng.shuffle(rows)
+    sets = [shingle_set(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+    want = []
+    for i, (doc, _) in enumerate(rows):
+        near = [rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None]
+        want.append((str(doc), str(min(near, default=None) if sets[i] else doc)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(str(r["doc_id"]), str(r["near_id"])) for r in minhash.fingerprint_groups(df).collect()]
+    assert sorted(got) == sorted(want)
+    assert minhash.fingerprint_groups(empty).count() == 0
+    assert minhash.fingerprint_groups(awkward).count() == awkward.count()
 
 
 def test_greedy_tiles():
