@@ -253,6 +253,11 @@ def _links(units: DataFrame, percent: int) -> DataFrame:
     return dealt.select("family", "i", "j", "part", "class", "items").mapInArrow(run, "a long, b long")
 
 
+def if_small(table: DataFrame) -> DataFrame:
+    """A stored table of short rows, to be broadcast if it has at most ``BROADCAST_ROWS`` of them."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def deal_families(members: DataFrame) -> DataFrame:
     """A table (class, family, n) with the number of its family's ``chunks`` and its ``own``; families of one class go."""
     totals = members.groupBy("family").agg(

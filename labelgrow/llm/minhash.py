@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .jaccard_join import PERCENT, chunk_links, deal_families
+from .jaccard_join import PERCENT, chunk_links, deal_families, if_small
 from .shared import fresh, stored, text_batches
 from .shingles import shingle_sets, shingles, slices
 
@@ -167,7 +167,7 @@ def fingerprint_edits(
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = 16, slots: int = SLOTS, k: int = SHINGLE
 ) -> DataFrame:
-    """(digest, near_id) of each distinct text: the smallest id that links of its signature's bands reach.
+    """(digest, near_id) of each distinct text of groups of several rows: the smallest id that links of its bands reach.
 
     1. A pass over the texts gives signatures and digests; equal sets of shingles become one class.
     2. Classes that share a band (``slots / bands`` equal slots in a row) with another one are joined
@@ -177,8 +177,8 @@ def near_duplicates(
        least ``percent`` per cent), in units of bounded size. As every pair of one bucket is in one
        family, no pair that a band brings together is lost; pairs that share no band are.
 
-    ``digest`` is the MD5 of the text. Texts that link with nothing have the smallest id of their own
-    rows; those of null ids alone have null. Texts without words are left out.
+    ``digest`` is the MD5 of the text. A group of null ids alone has null. Rows whose set no other row
+    has or links with, and texts without words, are left out.
     """
     width = slots // bands
 
@@ -217,23 +217,23 @@ def near_duplicates(
             items = pa.array([x.view(np.int64) for x in shingle_sets(batch.column(0), k)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], items], names=[*batch.schema.names[1:], "items"])
 
-    texts = base.join(placed, ["doc", "digest"]).dropDuplicates(["class"]).select("text", "family", "chunks", "own", "class")
+    texts = base.join(if_small(placed), ["doc", "digest"]).dropDuplicates(["class"]).select("text", "family", "chunks", "own", "class")
     full = texts.mapInArrow(sets, "family long, chunks int, own int, class long, items array<bigint>")
     linked = components(chunk_links(full, percent)).select(F.col("node").alias("class"), F.col("component").alias("linked"))
     grouped = classes.select("set", "class").join(linked, "class", "left").select("set", F.coalesce("linked", "class").alias("group"))
     real = F.when(F.col("doc") != NO_ID, F.col("doc"))
-    named = stored(rows.groupBy("set", "digest").agg(F.min(real).alias("doc")).join(grouped, "set").select("digest", "doc", "group"), "named")
-    least = named.groupBy("group").agg(F.min("doc").alias("near_id"))
+    named = stored(rows.groupBy("set", "digest").agg(F.min(real).alias("doc"), F.count("*").alias("n")).join(grouped, "set").select("digest", "doc", "n", "group"), "named")
+    least = named.groupBy("group").agg(F.min("doc").alias("near_id"), F.sum("n").alias("n")).filter("n > 1").select("group", "near_id")
     return named.join(least, "group").select("digest", "near_id")
 
 
 def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``fingerprint_edits`` with ``near_id``, the smallest id of the document's near duplicates, itself included.
 
-    A text without words has its own id.
+    A document without near duplicates, as one without words, has its own id.
     """
     marks = fingerprint_edits(docs, id_col, text_col, digest_col="digest")
     near = stored(near_duplicates(docs, id_col, text_col, percent), "near").withColumnRenamed("digest", "of")
-    found = marks.join(near, F.col("digest") == F.col("of"), "left")
+    found = marks.join(if_small(near), F.col("digest") == F.col("of"), "left")
     own = F.when(F.col("of").isNull(), F.col(id_col).cast("long")).otherwise(F.col("near_id"))
     return found.select(*[c for c in marks.columns if c != "digest"], own.alias("near_id"))
