@@ -283,10 +283,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is null for the empty set.
     """
     n_col, component_col = fresh(docs, "n_shingles", "component_id")
-    base = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    base = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     rows = stored(_sampled(base, "text", k, percent), "samples")
     families = stored(_families(rows.select("node", "n_shingles", "class", "sample"), percent), "families")
-    wanted = rows.join(families, "class").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("family").alias("family"))
+    holder = F.min(F.struct("doc", "text_hash")).alias("holder")
+    wanted = rows.join(families, "class").groupBy("class").agg(holder, F.first("n_shingles").alias("n"), F.first("family").alias("family"))
     wanted = stored(wanted, "wanted")
     placed = stored(deal_families(wanted), "placed")
 
@@ -297,10 +298,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = pa.RecordBatch.from_arrays([*batch.columns[3:], batch.column(1), pa.array(made, pa.list_(pa.int64()))], names=["family", "chunks", "own", "class", "items"])
             yield out.filter(same)
 
-    small = placed.count() <= BROADCAST_ROWS
-    keys = placed.select(F.col("doc").alias("rep"), "class", "family", "chunks", "own")
-    texts = base.select("doc", "text")
-    met = texts.join(F.broadcast(keys) if small else keys, F.col("doc").eqNullSafe(F.col("rep")))
+    keys = placed.select(F.col("holder.doc").alias("rep"), F.col("holder.text_hash").alias("rep_hash"), "class", "family", "chunks", "own")
+    same_row = F.col("doc").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+    met = base.select("doc", "text_hash", "text").join(if_small(keys), same_row)
     full = met.select("doc", "class", "text", "family", "chunks", "own").mapInArrow(sets, "family long, chunks int, own int, class long, items array<bigint>")
     linked = components(chunk_links(full, percent)).select(F.col("node").alias("class"), F.col("component").alias("linked"))
     named = rows.select("row", "doc", "n_shingles", "class").join(linked, "class", "left").withColumn("group", F.coalesce("linked", "class"))

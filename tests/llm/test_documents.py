@@ -444,3 +444,17 @@ def test_personal_data_of_rows_without_id(spark):
     for ids in (range(13), [None] * 13):
         df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
         assert sum(len(r["found"]) for r in pii.find_personal_data(df).collect()) == 1
+
+
+def test_jaccard_join_without_ids(spark):
+    """Near copies without ids link as those with ids do; each class ships one text, whatever ids its rows have."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        texts += [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 30, 3)]
+    texts += texts[:3]
+    both = [jaccard_join.link_components(spark.createDataFrame([(i if known else None, i, t) for i, t in enumerate(texts)], "doc_id long, i int, text string"), group_col="g").collect() for known in (True, False)]
+    groups = [{frozenset(r["i"] for r in rows if r["g"] == g) for g in {r["g"] for r in rows}} for rows in both]
+    assert groups[0] == groups[1] and len(groups[0]) == 4
+    assert {r["component_id"] for r in both[1]} == {None}
