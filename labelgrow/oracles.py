@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .functions.features import WIDTHS
-from .queries import DICTIONARY, ELEMENTS, GAPS, PRODUCTS, VOCABULARY, WIDTH
+from .queries import DICTIONARY, ELEMENTS, GAPS, LITERALS, PRODUCTS, VOCABULARY, WIDTH
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 MEASURED = """
 m as (
@@ -158,6 +160,7 @@ def oracle_sql() -> dict[str, str]:
                list_max(list_transform(t, lambda x: length(x)))::double as max_length,
                len(list_filter(t, lambda x: regexp_full_match(x, '[0-9]+')))::double as n_numbers
         from t"""
+    literals = ", ".join(f"case when contains(t, '{w}') then '{i}' end" for i, w in enumerate(LITERALS))
     keys = ", ".join(f"regexp_matches(text, '{p}')::int::varchar" for p in DICTIONARY)
     counts = ", ".join(f"len(list_filter(t, lambda x: lower(x) = '{w}'))::varchar" for w in VOCABULARY)
     sizes = ", ".join(f"('{name}', {n}::bigint)" for name, n in {"ScalarMD": 7, "WordMD": 3, "CharMD": 3, "TokenMD": 2, **WIDTHS}.items())
@@ -243,6 +246,7 @@ def oracle_sql() -> dict[str, str]:
             from documents d left join t on d.doc_id = t.doc_id left join g on d.doc_id = g.doc_id""",
         "folded_counts": f"""
             with {PARTS}, k as ({_keys(_pair)}) select p_partkey, ({_bucket('key', 4860)})::int as bucket, count(*) as n from k group by all""",
+        "literal_keys": f"select doc_id, array_to_string(list_filter([{literals}], lambda k: k is not null), ',') as keys from (select doc_id, translate(text, '{UPPER}', '{UPPER.lower()}') as t from documents)",
         "dictionary_keys": f"select doc_id, concat_ws(',', {keys}) as keys from documents",
         "type_counts": f"with {DOCS} select doc_id, concat_ws(',', {counts}) as counts from t",
         "featurize": """

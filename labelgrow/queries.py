@@ -23,6 +23,7 @@ WIDTH = ELEMENTS + 4
 #: Elements whose products with each other are features of ``wide_matrix``.
 PRODUCTS = 21
 DICTIONARY = ["(?i)tion", "(?i)ment", "(?i)heit", "[0-9]{4}", "@", "!!", r"\|", "the "]
+LITERALS = [a + b for a in "aeiounrst" for b in "abcdefghijklmnopqrs"][:167] + ["the", "ther", "heit", "tion"]
 VOCABULARY = ["the", "of", "de", "und", "la", "que"]
 
 
@@ -261,6 +262,11 @@ def folded_counts(spark, sf):
     return X.folded_counts(p, "p_partkey", X.pairs(F.col("toks"), 5), 4860)
 
 
+def literal_keys(spark, sf):
+    """Which of 171 literals each document holds, found in one pass over its text."""
+    return _t(spark, sf, "documents").select("doc_id", F.array_join(X.literal_bits(F.col("text"), LITERALS, True).cast("array<string>"), ",").alias("keys"))
+
+
 def dictionary_keys(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.array_join(X.dictionary_bits(F.col("text"), DICTIONARY).cast("array<string>"), ",").alias("keys"))
 
@@ -481,7 +487,7 @@ PLAIN = (
     standardize_keys, drop_invalid, invalid_report, merge_duplicates, first_valid, id_value_map_exploded, merge_report, column_families, sanitize,
     split_labeled, labeled_docs, attach_features, row_missing_filter, column_missing_stats, binary_columns, low_variance, avg_rank, pearson_pairs,
     spearman_pairs, wide_pairs, phi_pairs, quality_table, redundant_features, quality_summary, retained_columns, feature_statistics, extraction_report, tokens,
-    scalar_descriptors, torsion_bits, folded_counts, dictionary_keys, type_counts, featurize, stratified_split, class_distribution, binary_metrics, roc_auc,
+    scalar_descriptors, torsion_bits, folded_counts, dictionary_keys, literal_keys, type_counts, featurize, stratified_split, class_distribution, binary_metrics, roc_auc,
     top_configs, best_config, confident, balance_quota, two_ended_select, selection_history, cap_select, relax_thresholds, selection_quality, quality_totals, convergence,
     expand_and_remaining, knn_elements, loop_one_iteration, loop_two_iterations, training_history, model_grid,
 )
