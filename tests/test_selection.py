@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from labelgrow.config import LoopConfig, SamplerConfig
@@ -141,3 +142,32 @@ def test_gbt_is_registered_with_its_default_rounds(spark, monkeypatch):
     monkeypatch.setattr(queries, "grid_metrics", lambda made: made)
     queries.queries()["gbt"](spark, "/root/testdata/sf0.001")
     assert Boosting(**seen["gbt"]).rounds == 100
+
+
+@pytest.mark.parametrize("width", [1, 3, 40])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60_000])
+def test_knn_leaves_out_far_cells(spark, monkeypatch, width, block_bytes):
+    from labelgrow.operators import neighbors
+
+    def rows(n, seed):
+        x = np.random.default_rng(seed).integers(0, 40, (n, width)) * [1000.0 if i == 0 else 1.0 for i in range(width)]
+        return x + 1e6
+
+    x, q, pairs = rows(1500, 1), np.concatenate([rows(700, 2), rows(50, 1)]), []
+    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, features array<double>")
+    monkeypatch.setattr(neighbors, "CELL", 64)
+    d2 = np.cumsum((q[:, None] - x[None]) ** 2, axis=2)[:, :, -1]
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), d2.shape), d2), axis=1)[:, :4]
+    want = {(i, n + 1): (int(t), float(np.sqrt(d2[i, t]))) for i in range(len(q)) for n, t in enumerate(order[i])}
+    assert {(r["qid"], r["rank"]): (r["tid"], r["dist"]) for r in knn(frame(q), frame(x), 4, block_bytes=block_bytes).collect()} == want
+    block, product = neighbors._Block(np.arange(len(x)), x), np.lexsort
+    monkeypatch.setattr(neighbors.np, "lexsort", lambda keys, *a: pairs.append(len(keys[0])) or product(keys, *a))
+    assert sum(b.num_rows for b in block.nearest(np.arange(len(q)), q, 4)) == 4 * len(q)
+    assert sum(pairs) < 0.1 * len(q) * len(x)  # the old way took the differences of all pairs
+
+
+def test_knn_missing_and_copies(spark):
+    train = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(50)] + [(90, [None, 1.0]), (91, [float("nan"), 1.0]), (92, [3.0, 1.0])], "id long, features array<double>")
+    query = spark.createDataFrame([(1, [1.0, 1.0]), (2, [3.0, 1.0]), (3, [None, 1.0]), (4, [1.0, 1.0])], "id long, features array<double>")
+    got = {q: [r["tid"] for r in sorted(knn(query, train, 3).collect(), key=lambda r: r["rank"]) if r["qid"] == q] for q in (1, 2, 3, 4)}
+    assert got == {1: [0, 1, 2], 2: [92, 0, 1], 3: [], 4: [0, 1, 2]}
