@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelgrow.config import LoopConfig, SamplerConfig
 from labelgrow.operators import metrics, monitor, sampling
@@ -171,3 +172,20 @@ def test_knn_missing_and_copies(spark):
     query = spark.createDataFrame([(1, [1.0, 1.0]), (2, [3.0, 1.0]), (3, [None, 1.0]), (4, [1.0, 1.0])], "id long, features array<double>")
     got = {q: [r["tid"] for r in sorted(knn(query, train, 3).collect(), key=lambda r: r["rank"]) if r["qid"] == q] for q in (1, 2, 3, 4)}
     assert got == {1: [0, 1, 2], 2: [92, 0, 1], 3: [], 4: [0, 1, 2]}
+
+
+def test_validation_scores_rows_once(spark, tmp_path):
+    from labelgrow.plans.loop import validate
+    from labelgrow.plans.models import Fitted
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(y):
+        seen.add(1)
+        return float(y)
+
+    val = spark.createDataFrame([(i, i % 2) for i in range(20)], "id long, y int")
+    fitted = Fitted("any", lambda df: df.withColumn("prob", score("y")).withColumn("pred", F.col("prob").cast("int")), {})
+    assert validate(fitted, val, f"file://{tmp_path}/scored")["roc_auc"] == 1.0
+    assert seen.value <= 40  # the column may be made for prob and pred; metrics made it three times as often
