@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,25 @@ def test_validation_scores_rows_once(spark, tmp_path):
     fitted = Fitted("any", lambda df: df.withColumn("prob", score("y")).withColumn("pred", F.col("prob").cast("int")), {})
     assert validate(fitted, val, f"file://{tmp_path}/scored")["roc_auc"] == 1.0
     assert seen.value <= 40  # the column may be made for prob and pred; metrics made it three times as often
+
+
+@pytest.mark.parametrize("size,shift", [(1.0, 0.0), (1e-3, 1e6), (1e20, 0.0), (1e-200, 0.0), (1e100, 1e100)])
+def test_knn_single_precision_loses_nothing(size, shift):
+    from labelgrow.operators import neighbors
+
+    rng = np.random.default_rng(2)
+    x, q = (rng.normal(size=(n, 8)) * size + shift for n in (700, 60))
+    x[:20], q[:20] = x[20:40], x[20:40]  # ties
+    d2 = np.cumsum((q[:, None] - x[None]) ** 2, axis=2)[:, :, -1]
+    want = np.lexsort((np.broadcast_to(np.arange(len(x)), d2.shape), d2), axis=1)[:, :4]
+    got = pa.Table.from_batches(neighbors._Block(np.arange(len(x)), x).nearest(np.arange(len(q)), q, 4))
+    assert got["tid"].to_numpy().reshape(-1, 4).tolist() == want.tolist()
+
+
+def test_knn_by_blocks_uses_all_cores(spark, monkeypatch):
+    from labelgrow.operators import neighbors
+
+    df, seen, by_blocks = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "id long, features array<double>"), [], neighbors._by_blocks
+    monkeypatch.setattr(neighbors, "_by_blocks", lambda *a: seen.append(a[3] * a[4]) or by_blocks(*a))
+    assert knn(df, df, 1, block_bytes=320).count() == 40
+    assert seen[0] >= 3 * spark.sparkContext.defaultParallelism  # two blocks of one piece were two tasks
