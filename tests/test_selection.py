@@ -146,6 +146,17 @@ def test_gbt_is_registered_with_its_default_rounds(spark, monkeypatch):
     assert Boosting(**seen["gbt"]).rounds == 100
 
 
+def test_model_grid_fits_all_models_by_their_defaults(spark, monkeypatch):
+    from labelgrow import queries
+    from labelgrow.plans.models import NAMES
+
+    seen = {}
+    monkeypatch.setattr(queries, "evaluate_grid", lambda sets, models, work_dir=None, **more: (seen.update(models=models, sets=sets, more=more), []))
+    queries.queries()["model_grid"](spark, "/root/testdata/sf0.001")
+    assert set(seen["models"]) == set(NAMES) and len(seen["sets"]) == 2
+    assert not seen["more"].get("parameters")  # gbt had 20 rounds of 100
+
+
 @pytest.mark.parametrize("width", [1, 3, 40])
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60_000])
 def test_knn_leaves_out_far_cells(spark, monkeypatch, width, block_bytes):
