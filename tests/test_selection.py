@@ -223,3 +223,39 @@ def test_knn_by_blocks_uses_all_cores(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "_by_blocks", lambda *a: seen.append(a[3] * a[4]) or by_blocks(*a))
     assert knn(df, df, 1, block_bytes=320).count() == 40
     assert seen[0] >= 3 * spark.sparkContext.defaultParallelism  # two blocks of one piece were two tasks
+
+
+def test_whole_job_is_registered_with_its_whole_setting(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from labelgrow import queries
+    from labelgrow.functions.features import SETS
+    from labelgrow.plans.models import NAMES
+
+    seen = {"errors": []}
+    monkeypatch.setattr(queries, "run_pipeline", lambda raw, cfg, folder: seen.update(raw=raw, cfg=cfg) or SimpleNamespace(grid=raw, errors=seen["errors"]))
+    queries.queries()["run_pipeline"](spark, "/root/testdata/sf0.001")
+    cfg = seen["cfg"]
+    assert set(cfg.models) == set(NAMES) and set(cfg.feature_sets) == set(SETS) and not cfg.parameters  # 2 of 5 and 2 of 17
+    assert cfg.loop == LoopConfig() and cfg.sampler == SamplerConfig()  # 2 iterations of 50
+    plan = seen["raw"].select("key", "quality")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("md5(")  # keys were made of joined texts
+    seen["errors"] = [("knn", "PathFP", "lost")]
+    with pytest.raises(RuntimeError, match="PathFP"):  # the rest of the grid was returned as if it were all
+        queries.queries()["run_pipeline"](spark, "/root/testdata/sf0.001")
+
+
+def test_solvers_have_tasks_by_the_size_of_their_rows(spark):
+    from labelgrow.plans import models
+
+    df = spark.range(64).repartition(3)
+    tasks = lambda n: models._spread(df, n).rdd.getNumPartitions()
+    assert [tasks(n) for n in (0, 1000, 1 << 20, 1 << 24, 1 << 30)] == [1, 1, 2, 4, 3]  # few rows were dealt out to all cores
+
+
+def test_texts_of_one_file_are_dealt_out(spark):
+    from labelgrow.plans.pipeline import dealt
+
+    few, cores = spark.range(100).coalesce(1), spark.sparkContext.defaultParallelism
+    assert dealt(few).rdd.getNumPartitions() >= cores and dealt(few).count() == 100  # one task made all features
+    assert dealt(spark.range(100, numPartitions=cores)).rdd.getNumPartitions() == cores
